@@ -92,13 +92,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["q"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and text number of every word, and the number of words of every text.
 
-    The bytes are handled in segments cut between words, so memory doesn't grow with the longest text.
+    table tells the bytes inside a word. The bytes are handled in segments cut between words, so memory doesn't grow with the longest text.
     """
     n = len(data)
-    inside = WORD[data]
+    inside = table[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = inside.copy()
