@@ -27,6 +27,13 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it overlaps benchmark items, and which."""
+    from spindrift.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, unigram pieces and the score of the best segmentation."""
     import public_tokenizers
@@ -78,17 +85,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(messages(events_of_turns(turns)))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: spans of personal data."""
+    from spindrift.llm.pii import pii_spans
+
+    return pii_spans(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op2_bpe_round_trip,
+        op3_benchmark_decontamination,
         op4_token_counts,
         op5_quality_classifier,
         op6_license_scan,
         op7_url_filter,
         op8_embedding_near_dedup,
         op9_chat_format,
+        op10_pii,
     )
 }
 
@@ -112,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
         e AS (
             SELECT *, length(role) + length(text) + length('<|im_start|>' || '<|im_end|>') + 2
-                + len(regexp_extract_all(text, '<\\*[|]')) AS chars
+                + len(regexp_extract_all(text, '<\\\\*[|]')) AS chars
             FROM t)
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
