@@ -125,14 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> np.n
     return trained([tuple(r) for r in rows])
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with a column score, the probability of label 1; only the text decides. Null text: as empty.
+def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
+    """docs with a column score (or another name), the probability of label 1; only the text decides. Null text: as empty.
 
-    All columns stay as they are; one named score is replaced.
+    All columns stay as they are; one of the new column's name is replaced.
     """
     from pyspark.sql.types import StructType
 
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = [f for f in docs.schema.fields if f.name != score]
     names = [f.name for f in kept]
     shared = weights.astype(np.float64)
 
@@ -142,9 +142,9 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFram
         for batch in batches(stream, text):
             bucket, doc, n = features(batch.column(text))
             odds = np.bincount(doc, shared[bucket], batch.num_rows) / n
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700))))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700))))], [*names, score])
 
-    return docs.mapInArrow(run, StructType(kept).add("score", "double"))
+    return docs.mapInArrow(run, StructType(kept).add(score, "double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS, threshold: float = 0.3) -> DataFrame:
