@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,39 +13,45 @@ from spindrift.exceptions import ColumnNotFoundError
 
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder; one is set here only where the session names none."""
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that the cluster shares, and read again: it is computed once, and its plan ends there.
+
+    The folder is the session's spark.checkpoint.dir; one is set here only where none is named.
+    """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Nodes reached from seeds (node) over edges (src, dst) in one step or more. Cycles end by themselves.
 
-    Each round joins the frontier with the edges and drops what was seen; only the test for an empty frontier comes
-    to the driver. Frontier and seen nodes are written every round, so plans stay short and survive lost executors.
+    Each round joins the frontier with the edges and drops what was seen. A frontier is written once, so plans stay
+    short and survive lost executors; only the test for an empty one comes to the driver.
     """
-    edges = edges.select("src", "dst").distinct()
     frontier = seeds.select("node").distinct()
     seen = None
     for _ in range(rounds):
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step if seen is None else step.join(seen, "node", "left_anti"))
+        step = edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = kept(step if seen is None else step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = frontier if seen is None else checkpointed(seen.union(frontier))
+        seen = frontier if seen is None else seen.union(frontier)
     return frontier if seen is None else seen
 
 
 def all_pairs(edges: DataFrame) -> DataFrame:
     """(start, node) for every path of one step or more, by doubling: rounds grow with the logarithm of the depth."""
-    pairs = checkpointed(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct())
+    pairs = kept(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct())
     size = pairs.count()
     while True:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.node") == F.col("b.start")).select(F.col("a.start").alias("start"), F.col("b.node").alias("node"))
-        pairs = checkpointed(pairs.union(longer).distinct())
+        pairs = kept(pairs.union(longer).distinct())
         now = pairs.count()
         if now == size:
             return pairs
@@ -54,23 +61,21 @@ def all_pairs(edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 for roots, else one more than the highest parent's. Edges of unknown nodes are left out.
 
-    Nodes on a cycle, and those behind one, get the level at which the ordering stopped.
+    Nodes on a cycle, and those behind one, get the level at which the ordering stopped. Each round writes the nodes
+    that no open edge leads to.
     """
     known = nodes.select("node").distinct()
-    edges = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
-    left, edges, done, level = checkpointed(known), checkpointed(edges), None, 0
+    inside = edges.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct()
+    done, level = None, 0
     while True:
-        ready = checkpointed(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        part = ready.withColumn("level", F.lit(level))
+        left = known if done is None else known.join(done, "node", "left_anti")
+        still = inside if done is None else inside.join(done.select(F.col("node").alias("src")), "src", "left_anti")
+        ready = kept(left.join(still.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(level).alias("level")))
         if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(level))
+            rest = left.select("node", F.lit(level).alias("level"))
             return rest if done is None else done.union(rest)
-        done = part if done is None else done.union(part)
-        left = checkpointed(left.join(ready, "node", "left_anti"))
-        edges = checkpointed(edges.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
+        done = ready if done is None else done.union(ready)
         level += 1
-        if left.isEmpty():
-            return done
 
 
 def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,8 +118,8 @@ def ordered_edges(graph: DataFrame) -> DataFrame:
 
 
 def _closure(edges: DataFrame, model: str, column: str, back: bool) -> tuple[DataFrame, DataFrame, str]:
-    graph = as_graph(edges)
     m, c = resolve(edges, model, column)
+    graph = as_graph(edges)
     start = f"{m}\x1f{c}"
     seeds = edges.sparkSession.createDataFrame([(start,)], "node string")
     steps = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else graph.select("src", "dst")

@@ -23,7 +23,7 @@ LAYERS = ("base", "stg", "int", "fct", "dim", "rep", "mart")
 def _document(spark: SparkSession, path: str, schema: str, error: type[Exception]) -> DataFrame:
     """One row with the parsed document; keys that the schema doesn't name are never built."""
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", schema.removeprefix("struct<").removesuffix(">"), {"mode": "PERMISSIVE"}).alias("d"), F.get_json_object("value", "$").isNotNull().alias("ok"))
+    parsed = text.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d"), F.get_json_object("value", "$").isNotNull().alias("ok"))
     row = parsed.select("ok", F.coalesce(F.col("d.nodes").isNotNull() | F.col("d.sources").isNotNull(), F.lit(False)).alias("any")).first()
     if row is None or not row["ok"]:
         raise error(f"{path} is not valid JSON")
