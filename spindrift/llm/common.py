@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession

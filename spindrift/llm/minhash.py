@@ -8,12 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import GOLDEN, batches, components, discard, mix64, salt, shingle_counts, written
+from spindrift.llm.common import GOLDEN, batches, components, discard, fresh, mix64, salt, shingle_counts, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 ROWS = 5
+#: Where components of one band are compared with each other, blocks of about this many texts meet at a time.
+BLOCK = 512
+COLUMNS = 4096
 
 
 def dart_signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +109,66 @@ def _similar(size: int, threshold: float):
     return run
 
 
+def _crossed(size: int, threshold: float):
+    """Links between components within each run of rows of one block pair, at most one row per merge."""
+
+    def group(rows, cross):
+        import pyarrow as pa
+
+        node, part, component, text = zip(*rows)
+        m = len(node)
+        label = np.unique(np.array([c.hex() for c in component]), return_inverse=True)[1]
+        if label.max() == 0:
+            return []
+        # a counted shingle is as many elements as its count, so shared elements are the shared weight
+        e, d, n = shingle_counts(pa.array(text, pa.large_string()), size)
+        total = np.bincount(d, weights=n, minlength=m)
+        turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = mix64(np.repeat(e, n) + turn.astype(np.uint64) * GOLDEN)
+        of = np.repeat(d, n)
+        _, ids, seen = np.unique(key, return_inverse=True, return_counts=True)
+        common = np.cumsum(seen > 1) - 1
+        on = seen[ids] > 1
+        column, row = common[ids[on]], of[on]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        shared = np.zeros((m, m), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (low, low + COLUMNS))
+            hold = np.zeros((m, COLUMNS), np.float32)
+            hold[row[a:b], column[a:b] - low] = 1
+            shared += hold @ hold.T
+        near = np.triu(shared >= threshold * (total[:, None] + total[None, :] - shared) - 1e-6, 1) & (label[:, None] != label[None, :]) & (total[:, None] > 0)
+        if cross:
+            p = np.array(part)
+            near &= p[:, None] != p[None, :]
+        out = []
+        for x, y in zip(*np.nonzero(near)):
+            if label[x] != label[y]:
+                out.append((node[x], node[y]))
+                label[label == label[y]] = label[x]
+        return out
+
+    def run(stream):
+        import pyarrow as pa
+
+        key, rows = None, []
+        for batch in stream:
+            out = []
+            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "node", "part", "component", "text"))):
+                if r[:3] != key:
+                    if len(rows) > 1:
+                        out += group(rows, key[1] != key[2])
+                    key, rows = r[:3], []
+                rows.append(r[3:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
+        if len(rows) > 1 and (out := group(rows, key[1] != key[2])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (doc_id, node, component_id, kept) per row of docs (doc_id, text; other columns are ignored).
 
@@ -115,8 +178,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float =
     links, kept marks the rows that hold it (so repeated rows of one doc_id and text are all marked).
 
     Equal texts are one node from the start (md5 of the bytes), so groups of copies cost a row per copy. Within a
-    band every member is compared with the smallest node, and members which thereby end in different components
-    are then compared with each other; no other pair of a band is built.
+    band every member is compared with a hub, the member that meets most others over all bands. Only bands whose
+    members thereby end in different components go on: these are compared block by block, each two blocks in a task
+    of their own, which gives out one row per merge and no row per pair.
 
     Null text: as empty. A text without words equals only byte-identical texts. Null doc_id: its row takes part and
     has the component of its text; kept is then true only if no row of the component has a doc_id. Empty input:
@@ -128,9 +192,13 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float =
     sig, sig_path = written(base.mapInArrow(_bands(size, bands, rows), "doc_id long, node binary, bands array<long>"), "minhash-sig")
     nodes = sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     rows_of, rows_path = written(nodes.select("node", "rep", F.explode("bands").alias("band")), "minhash-bands")
-    shared = rows_of.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("band", "hub")
-    members, members_path = written(rows_of.join(shared, "band").select("band", "node", "rep", "hub"), "minhash-members")
-    star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    shared = rows_of.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members, members_path = written(rows_of.join(shared, "band").select("band", "node", "rep", "n"), "minhash-members")
+    # the hub is the member that meets the most others over all its bands: the text that a group's copies come from
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
+    placed, placed_path = written(members.select("band", "node").join(hubs, "band"), "minhash-placed")
+    star = placed.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     wanted = members.select("node", "rep").distinct()
     # one row per wanted node: any row of the text with its smallest doc_id
     texts = base.join(wanted.hint("shuffle_hash"), (base.node == wanted.node) & base.doc_id.eqNullSafe(wanted.rep)).select(base.node, "text")
@@ -144,18 +212,19 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float =
     edges, edges_path = written(verified(star), "minhash-star")
     label = components(edges, "minhash-star-cc")
     # members of one band in different components: the pairs that the comparison with the hub leaves open
-    placed = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"), "hub")
+    placed = placed.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"), "hub")
     open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    left = placed.join(open_bands, "band", "left_semi").filter("node <> hub").select("band", "node", "component")
-    left, left_path = written(left, "minhash-open")
-    l, r = left.alias("l"), left.alias("r")
-    cross = l.join(r, F.expr("l.band = r.band and l.node < r.node and l.component <> r.component")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more, more_path = written(verified(cross), "minhash-cross")
+    left = placed.join(open_bands.join(shared, "band"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = left.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
+    dealt = left.join(texts, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    more, more_path = written(dealt.mapInArrow(_crossed(size, threshold), "a binary, b binary").distinct(), "minhash-cross")
     final = components(edges.union(more), "minhash-cc")
     by_node = sig.join(final, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     least = by_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = by_node.join(least, "component").select("doc_id", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    discard(spark, rows_path, members_path, texts_path, edges_path, left_path, more_path)
+    discard(spark, rows_path, members_path, placed_path, texts_path, edges_path, more_path)
     return out
 
 
@@ -167,9 +236,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """
     marks = near_duplicates(docs, **options).filter("kept").groupBy("component_id", "node").agg(F.min("doc_id").alias("id"))
     one = marks.groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("node")).alias("g")).agg(F.min("node").alias("_node"), F.first("id").alias("_id"))
-    keyed = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("_id", F.col("doc_id").cast("long"))
-    cols = [c for c in keyed.columns if c not in ("_node", "_id")]
-    o = one.select("_node", "_id").alias("o")
-    k = keyed.alias("k")
-    hit = k.join(o.hint("shuffle_hash"), (F.col("k._node") == F.col("o._node")) & F.col("k._id").eqNullSafe(F.col("o._id"))).select("k.*")
-    return hit.dropDuplicates(["_node", "_id"]).select(*cols)
+    node, id = fresh(docs, "_node"), fresh(docs, "_id")
+    keyed = docs.withColumns({node: F.unhex(F.md5(F.coalesce("text", F.lit("")))), id: F.col("doc_id").cast("long")})
+    o, k = one.select("_node", "_id").alias("o"), keyed.alias("k")
+    hit = k.join(o.hint("shuffle_hash"), (F.col(f"k.{node}") == F.col("o._node")) & F.col(f"k.{id}").eqNullSafe(F.col("o._id"))).select("k.*")
+    return hit.dropDuplicates([node, id]).select(*docs.columns)
