@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, decontaminate, minhash, pii, quality
-from spindrift.llm.common import written
+from spindrift.llm.common import fresh, written
 
 #: Documents of a lower score go; as in the query of the classifier.
 QUALITY_THRESHOLD = 0.3
@@ -21,8 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier doesn't reject; it learns from the labelled ones among docs."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.scored(docs, weights, score="_quality")
-    return scored.filter(F.col("_quality") >= QUALITY_THRESHOLD).drop("_quality")
+    score = fresh(docs, "score")
+    return quality.scored(docs, weights, score=score).filter(F.col(score) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
 from spindrift.llm.common import batches
 
@@ -212,25 +213,23 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     Every other column stays as it is, whatever its name; a column called ids is replaced.
     """
-    return _with(docs, text, ids, "array<int>", functools.partial(_encode_column, path))
+    return _with(docs, text, ids, ArrayType(IntegerType()), functools.partial(_encode_column, path))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with the text of their token ids; null ids: empty text, null or unknown ids in the array: nothing."""
-    return _with(docs, ids, text, "string", functools.partial(_decode_column, path))
+    return _with(docs, ids, text, StringType(), functools.partial(_decode_column, path))
 
 
-def _with(docs: DataFrame, source: str, target: str, kind: str, make) -> DataFrame:
-    from pyspark.sql.types import StructType
-
+def _with(docs: DataFrame, source: str, target: str, kind: DataType, make) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != target]
-    schema = StructType(kept).add(target, kind)
     order = [f.name for f in kept]
+    schema = StructType([*kept]).add(target, kind)
 
     def run(stream):
         import pyarrow as pa
 
-        for batch in batches(stream, source) if kind != "string" else stream:
+        for batch in batches(stream, source) if kind != StringType() else stream:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), make(batch.column(source))], [*order, target])
 
     return docs.mapInArrow(run, schema)

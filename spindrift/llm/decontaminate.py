@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import fresh
+
 #: Words of a window that count (1) and that may differ (0).
 MASKS = ("110110101", "111001011", "101101011")
 #: A stretch counts its equal words, less so much for each differing one.
@@ -101,6 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text overlaps no benchmark item; all columns stay."""
-    bad = overlaps(docs, benchmark).select(F.col("node").alias("_node")).distinct()
-    kept = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    return kept.join(bad.hint("shuffle_hash"), "_node", "left_anti").select(*docs.columns)
+    node = fresh(docs, "_node")
+    bad = overlaps(docs, benchmark).select(F.col("node").alias(node)).distinct()
+    keyed = docs.withColumn(node, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return keyed.join(bad.hint("shuffle_hash"), node, "left_anti").select(*docs.columns)

@@ -221,13 +221,13 @@ def spans(text: Column) -> dict[str, Column]:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns _base and _all: arrays of (start, end, ord), by start, then kind.
+    """(row, text, _base, _all, ...): the rows of docs as structs, with arrays of (start, end, ord) by start, then kind.
 
     Base spans all stay, overlapping ones of different kinds too; a span of the trees is left out where it overlaps
     a base span or a span of a kind listed before it.
     """
-    clean = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_{k}": c for k, c in spans(clean).items()})
+    found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = found.withColumns({f"_{k}": c for k, c in spans(F.col("text")).items()})
     found = found.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     so_far = F.col("_base")
     for k in GENERATORS:
@@ -235,7 +235,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         free = F.filter(F.col(f"_{k}"), lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))  # noqa: B023
         found = found.withColumn("_so_far", F.concat(so_far, free))
         so_far = F.col("_so_far")
-    return found.withColumn("_all", F.array_sort(F.concat(F.col("_so_far"))))
+    return found.withColumn("_all", F.array_sort("_so_far"))
 
 
 def _listed(column: str) -> Column:
@@ -250,7 +250,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     Null text: as empty, no spans. doc_id may be null or repeat; there is a row for each row.
     """
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return found.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_listed("_base"), 256).alias("base_sha256"), _listed("_all").alias("spans"))
+    return found.select("row.doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_listed("_base"), 256).alias("base_sha256"), _listed("_all").alias("spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -264,7 +264,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("_cut", F.aggregate("_all", zero, apart)["o"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     last = F.when(F.size("_cut") > 0, F.element_at("_cut", -1)["end"]).otherwise(0)
-    body = F.transform("_cut", lambda s, i: F.concat(F.substring(F.col(text), F.coalesce(F.get(F.col("_cut"), i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(F.col("_cut"), i - 1)["end"], F.lit(0))), F.get(names, s["ord"])))
-    done = F.concat(F.array_join(body, ""), F.substring(F.col(text), last + 1, F.length(text)))
-    clean = F.when(F.size("_cut") > 0, done).otherwise(F.col(text))
-    return found.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == text else F.col(c) for c in docs.columns))
+    before = lambda i: F.coalesce(F.get(F.col("_cut"), i - 1)["end"], F.lit(0))
+    body = F.transform("_cut", lambda s, i: F.concat(F.substring(F.col("text"), before(i) + 1, s["start"] - before(i)), F.get(names, s["ord"])))
+    done = F.concat(F.array_join(body, ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    clean = F.when(F.size("_cut") > 0, done).otherwise(F.col("row")[text])
+    return found.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
