@@ -64,8 +64,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes on a cycle, and those behind one, get the level at which the ordering stopped. Each round writes the nodes
     that no open edge leads to.
     """
-    known = nodes.select("node").distinct()
-    inside = edges.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct()
+    known = kept(nodes.select("node").distinct())
+    inside = kept(edges.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct())
     done, level = None, 0
     while True:
         left = known if done is None else known.join(done, "node", "left_anti")
@@ -132,7 +132,7 @@ def trace(edges: DataFrame, model: str, column: str) -> tuple[DataFrame, DataFra
     A column without sources is its own source column.
     """
     graph, found, _ = _closure(edges, model, column, True)
-    inside = graph.join(found.withColumnRenamed("node", "dst"), "dst", "left_semi").join(found.withColumnRenamed("node", "src"), "src", "left_semi")
+    inside = kept(graph.join(found.withColumnRenamed("node", "dst"), "dst", "left_semi").join(found.withColumnRenamed("node", "src"), "src", "left_semi"))
     roots = found.join(graph.select(F.col("dst").alias("node")), "node", "left_anti")
     return ordered_edges(inside).select(*edges.columns), _split(roots)
 
@@ -140,7 +140,7 @@ def trace(edges: DataFrame, model: str, column: str) -> tuple[DataFrame, DataFra
 def impact(edges: DataFrame, model: str, column: str) -> tuple[DataFrame, DataFrame]:
     """(edges, affected_columns) downstream of a column; the column itself isn't affected, unless a cycle leads back."""
     graph, found, start = _closure(edges, model, column, False)
-    inside = graph.join(found.withColumnRenamed("node", "dst"), "dst", "left_semi").join(found.withColumnRenamed("node", "src"), "src", "left_semi")
+    inside = kept(graph.join(found.withColumnRenamed("node", "dst"), "dst", "left_semi").join(found.withColumnRenamed("node", "src"), "src", "left_semi"))
     return ordered_edges(inside).select(*edges.columns), _split(found.filter(F.col("node") != start))
 
 

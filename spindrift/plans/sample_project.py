@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.functions.dialect import qualify_to_filter
 from spindrift.plans.build import build
@@ -28,6 +29,9 @@ MODELS: list[tuple[str, tuple[str, ...], str]] = [
     ("mart_customers", ("stg_customers", "nations", "orders_enriched"), "SELECT c.customer_id, c.customer_name AS name, n.region_name, COALESCE(SUM(o.net_total), 0) AS revenue, ROUND(SUM(o.net_total) / COUNT(o.order_id), 2) AS mean_order FROM stg_customers c JOIN nations n ON c.nation_id = n.nation_id LEFT JOIN orders_enriched o ON o.customer_id = c.customer_id GROUP BY c.customer_id, c.customer_name, n.region_name"),
 ]
 
+#: Columns that hold sums of numbers with four places, whose last digits depend on the order of adding: results show four.
+SUMS = {"order_totals": ("net_total", "quantity"), "orders_enriched": ("net_total",), "mart_customers": ("revenue", "mean_order")}
+
 
 def project(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None) -> tuple[list[dict], dict]:
     """(edges, stats) of the sample models, with the schemas of the Parquet tables as catalog."""
@@ -56,7 +60,8 @@ def run_model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
     make(name)
-    return spark.table(name)
+    out = spark.table(name)
+    return out.withColumns({c: F.round(c, 4) for c in SUMS.get(name, ())}) if name in SUMS else out
 
 
 def model_sql(name: str) -> str:
@@ -72,4 +77,5 @@ def model_sql(name: str) -> str:
             order.append(n)
 
     need(name)
-    return "WITH " + ", ".join(f"{n} AS ({known[n][1].replace('EXCEPT (', 'EXCLUDE (')})" for n in order) + f" SELECT * FROM {name}"
+    shown = f" REPLACE ({', '.join(f'round({c}, 4) AS {c}' for c in SUMS[name])})" if name in SUMS else ""
+    return "WITH " + ", ".join(f"{n} AS ({known[n][1].replace('EXCEPT (', 'EXCLUDE (')})" for n in order) + f" SELECT *{shown} FROM {name}"
