@@ -10,7 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.exceptions import CatalogParseError
 from spindrift.functions.dialect import dialect_of
 from spindrift.functions.transforms import LITERAL_MODEL
 from spindrift.operators import graph as G
@@ -122,7 +121,7 @@ class LineageGraph:
         chosen = artifacts.selected(models, select)
         schemas: dict[str, dict[str, str]] = {}
         documented = artifacts.documented_schemas(models)
-        parts = [documented] if catalog is None else [self._catalog(catalog, models), documented]
+        parts = [documented] if catalog is None else [artifacts.read_catalog(self.spark, catalog, models), documented]
         # artifacts describe a project, not its data: they are read whole on the driver
         for k, part in enumerate(parts):
             known = set(schemas) if k else set()
@@ -145,12 +144,6 @@ class LineageGraph:
                 store.save_results(self.folder, self.spark.createDataFrame([(u, k, [tuple(e[f] for f in fields) for e in a.edges], a.columns_attempted, a.columns_traced, a.failed_columns, a.ambiguous_columns, a.unresolved_columns, a.output_columns) for u, k, a in results], store.RESULTS))
         return chosen, edges.cache(), stats
 
-    def _catalog(self, path: str, models: DataFrame) -> DataFrame:
-        try:
-            return artifacts.read_catalog(self.spark, path, models)
-        except CatalogParseError:
-            raise
-
     @classmethod
     def clear_cache(cls) -> None:
         """Forget the graphs in memory."""

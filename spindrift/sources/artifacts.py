@@ -12,7 +12,7 @@ from spindrift.exceptions import CatalogParseError, ManifestNotFoundError, Manif
 
 _COLUMN = "struct<name:string,description:string,data_type:string>"
 _NODE = f"struct<unique_id:string,name:string,alias:string,resource_type:string,compiled_code:string,compiled_sql:string,raw_code:string,raw_sql:string,depends_on:struct<nodes:array<string>,macros:array<string>>,columns:map<string,{_COLUMN}>,database:string,schema:string,original_file_path:string>"
-MANIFEST = f"struct<metadata:struct<dbt_version:string,adapter_type:string,project_name:string>,nodes:map<string,{_NODE}>,sources:map<string,{_NODE}>>"
+MANIFEST = f"struct<metadata:struct<adapter_type:string,project_name:string>,nodes:map<string,{_NODE}>,sources:map<string,{_NODE}>>"
 _TABLE = "struct<metadata:struct<type:string,schema:string,name:string,database:string>,columns:map<string,struct<type:string,index:int,name:string,comment:string>>>"
 CATALOG = f"struct<nodes:map<string,{_TABLE}>,sources:map<string,{_TABLE}>>"
 #: Kinds of nodes that are models here.
