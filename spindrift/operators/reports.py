@@ -97,8 +97,11 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def resolution_breakdown(edges: DataFrame) -> DataFrame:
-    """(resolution_status, cnt) of the edges in the trace of every target column, each trace counted on its own."""
-    graph = as_graph(edges)
+    """(resolution_status, cnt) of the edges in the trace of every target column, each trace counted on its own.
+
+    A trace holds an edge once, however often its row is repeated.
+    """
+    graph = as_graph(edges).select("src", "dst", "resolution_status").distinct()
     closed = all_pairs(graph.select("src", "dst")).select(F.col("start").alias("dst_in"), F.col("node").alias("target"))
     own = graph.select("dst").distinct().select(F.col("dst").alias("dst_in"), F.col("dst").alias("target"))
     inside = graph.join(closed.union(own).distinct(), graph.dst == F.col("dst_in")).join(graph.select(F.col("dst").alias("target")).distinct(), "target", "left_semi")

@@ -37,7 +37,7 @@ def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for source, a, target, b, table in KEYS:
         t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         parts.append(t.selectExpr(f"'{source}' AS source_model", f"CAST({a} AS STRING) AS source_column", f"'{target}' AS target_model", f"CAST({b} AS STRING) AS target_column", f"{_TYPE.format(b)} AS transform_type", f"CASE WHEN CAST({b} AS BIGINT) % 3 = 0 THEN 'ambiguous' ELSE 'resolved' END AS resolution_status"))
-    # the keys make them distinct but for repeated pairs of part or supplier within a line, which can't occur
+    # lineitem repeats pairs of order and line number, so edges into lines can be repeated too
     return functools.reduce(DataFrame.union, parts)
 
 
@@ -128,6 +128,28 @@ _graph("edges_first_wins", lambda e: _five(G.first_wins(e.filter("source_model =
 _graph("edges_merged", lambda e: _five(G.merged(e.filter("source_model = 'part'").withColumn("ord", F.col("target_column").cast("long")).withColumn("target_column", F.lit("x")))), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_max(transform_type, (CASE transform_type WHEN 'aggregation' THEN 7 WHEN 'cast' THEN 4 WHEN 'function' THEN 3 WHEN 'rename' THEN 2 ELSE 0 END, target_column::BIGINT)) AS transform_type FROM e WHERE source_model = 'part' GROUP BY 1, 2, 3")
 
 
+# The same operators over every key edge, lines included; the queries above give them the part that their SQL covers.
+
+
+def _closure_sizes_whole(e: DataFrame) -> DataFrame:
+    sizes = G.all_pairs(G.as_graph(e).select("src", "dst")).groupBy("start").agg(F.count("*").alias("n"))
+    return sizes.select(F.split("start", "\x1f")[0].alias("model"), F.split("start", "\x1f")[1].alias("column"), "n")
+
+
+def _to_x(e: DataFrame) -> DataFrame:
+    """Every edge with its target column as order and x in its place, so that edges meet."""
+    return e.withColumn("ord", F.col("target_column").cast("long")).withColumn("target_column", F.lit("x"))
+
+
+_EDGE_KEY = ["source_model", "source_column", "target_model", "target_column"]
+_graph("graph_closure_sizes_whole", _closure_sizes_whole, "SELECT m AS model, k AS \"column\", count(*) AS n FROM c GROUP BY m, k", ", c(m, k, model, col) AS (SELECT source_model, source_column, target_model, target_column FROM e UNION SELECT c.m, c.k, e.target_model, e.target_column FROM e JOIN c ON e.source_model = c.model AND e.source_column = c.col)")
+_graph("report_grouped_by_source_whole", lambda e: R.grouped_edges(e, "source_model").select("source_model", F.size("edges").cast("long").alias("n"), F.get("edges", F.lit(0))["target_column"].alias("first_column")), "SELECT source_model, count(*) AS n, arg_min(target_column, (target_model, target_column)) AS first_column FROM e GROUP BY 1")
+_graph("report_resolution_whole", R.resolution_breakdown, "SELECT resolution_status, count(*) AS cnt FROM t GROUP BY 1", ", t(target_model, target_column, m, c, source_model, source_column, resolution_status) AS (SELECT target_model, target_column, target_model, target_column, source_model, source_column, resolution_status FROM e UNION SELECT t.target_model, t.target_column, e.target_model, e.target_column, e.source_model, e.source_column, e.resolution_status FROM e JOIN t ON e.target_model = t.source_model AND e.target_column = t.source_column)")
+_graph("report_labels_whole", lambda e: R.labels(e.withColumn("transform_sql", F.concat(F.lit("t."), "source_column"))).select(*_EDGE_KEY, "label", "note", "shown"), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type IN ('passthrough', 'rename') AND lower(source_column) <> lower(target_column) THEN 'rename: ' || source_column || ' -> ' || target_column ELSE transform_type END AS label, CASE WHEN resolution_status <> 'resolved' THEN '[' || resolution_status || ']' ELSE '' END AS note, '' AS shown FROM e")
+_graph("edges_first_wins_whole", lambda e: _five(G.first_wins(_to_x(e), _EDGE_KEY, "ord")), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_min(transform_type, target_column::BIGINT) AS transform_type FROM e GROUP BY 1, 2, 3")
+_graph("edges_merged_whole", lambda e: _five(G.merged(_to_x(e))), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_max(transform_type, (CASE transform_type WHEN 'aggregation' THEN 7 WHEN 'cast' THEN 4 WHEN 'function' THEN 3 WHEN 'rename' THEN 2 ELSE 0 END, target_column::BIGINT)) AS transform_type FROM e GROUP BY 1, 2, 3")
+
+
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as if they were models: brands as names, a source for each small size."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -175,6 +197,7 @@ def _select_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("meta_selection", _select_models, "WITH o AS (SELECT * FROM orders WHERE o_orderkey IN (1, 2)), c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)) SELECT 'orders_' || o_orderkey AS name FROM o UNION SELECT 'customer_' || c_custkey FROM c UNION SELECT 'nation_' || n_nationkey FROM n UNION SELECT 'region_' || n_regionkey FROM n")
 _CHAIN = "array(named_struct('step', 'a', 'sql', 'a', 'type', 'passthrough'), named_struct('step', 'b', 'sql', 'b', 'type', {t}), named_struct('step', 'c', 'sql', 'c', 'type', 'rename'))"
 _add("report_chain_steps", lambda spark, d: key_edges(spark, d).filter("target_model = 'nation'").withColumn("chain", F.expr(_CHAIN.format(t="transform_type"))).select("target_column", F.size(R.chain_steps(F.col("chain"))).cast("long").alias("n_steps"), F.get(R.chain_steps(F.col("chain")), F.lit(0))["step"].alias("first_step")), f"WITH {EDGE_SQL} SELECT target_column, CASE WHEN transform_type = 'passthrough' THEN 1 ELSE 2 END::BIGINT AS n_steps, CASE WHEN transform_type = 'passthrough' THEN 'c' ELSE 'b' END AS first_step FROM e WHERE target_model = 'nation'")
+_graph("report_chain_steps_whole", lambda e: e.withColumn("chain", F.expr(_CHAIN.format(t="transform_type"))).select(*_EDGE_KEY, F.size(R.chain_steps(F.col("chain"))).cast("long").alias("n_steps"), F.get(R.chain_steps(F.col("chain")), F.lit(0))["step"].alias("first_step")), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type = 'passthrough' THEN 1 ELSE 2 END::BIGINT AS n_steps, CASE WHEN transform_type = 'passthrough' THEN 'c' ELSE 'b' END AS first_step FROM e")
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,45 @@ def test_reports_of_nothing(spark, edges):
     none = edges.limit(0)
     assert R.model_rollup(none).count() == 0 and R.transform_breakdown(none).count() == 0 and G.all_models(none).count() == 0
     assert names(R.pair_stats(none)) == [(0, 0, 0)]
+
+
+def test_whole_queries_see_every_edge(spark, tmp_path):
+    """A star schema of two regions, by brute force: the lines are in, and every start."""
+    from spindrift.plans import catalog
+
+    tables = {
+        "nation": ("n_regionkey long, n_nationkey long", [(0, 0), (1, 1)]), "customer": ("c_nationkey long, c_custkey long", [(0, 1), (1, 2)]), "supplier": ("s_nationkey long, s_suppkey long", [(1, 1)]), "orders": ("o_custkey long, o_orderkey long", [(1, 1), (2, 2), (2, 3)]),
+        "lineitem": ("l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long", [(1, 1, 7, 1), (1, 2, 8, 1), (3, 1, 7, 1), (3, 1, 8, 1)]),
+    }
+    for name, (kinds, rows) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    every = [r.asDict() for r in catalog.key_edges(spark, str(tmp_path)).collect()]
+    ends = lambda e: ((e["source_model"], e["source_column"]), (e["target_model"], e["target_column"]))
+    pairs = {ends(e) for e in every}
+    while more := {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs:
+        pairs |= more
+    sizes = {a: sum(x == a for x, _ in pairs) for a, _ in pairs}
+    assert {(r["model"], r["column"]): r["n"] for r in run("graph_closure_sizes_whole")} == sizes
+    statuses = {}
+    for target in {ends(e)[1] for e in every}:
+        for e in {ends(e): e for e in every}.values():
+            if ends(e)[1] == target or (ends(e)[1], target) in pairs:
+                statuses[e["resolution_status"]] = statuses.get(e["resolution_status"], 0) + 1
+    assert dict(map(tuple, run("report_resolution_whole"))) == statuses
+    key = lambda e: ends(e)[0] + ends(e)[1]
+    got = {tuple(r)[:4]: (r["label"], r["note"]) for r in run("report_labels_whole")}
+    label = lambda e: f"rename: {e['source_column']} -> {e['target_column']}" if e["transform_type"] in ("passthrough", "rename") and e["source_column"] != e["target_column"] else e["transform_type"]
+    assert got == {key(e): (label(e), "" if e["resolution_status"] == "resolved" else "[ambiguous]") for e in every}
+    assert {tuple(r)[:4]: r["n_steps"] for r in run("report_chain_steps_whole")} == {key(e): 1 if e["transform_type"] == "passthrough" else 2 for e in every}
+    groups = {}
+    for e in every:
+        groups.setdefault(e["source_model"], []).append((e["target_model"], e["target_column"]))
+    assert {r["source_model"]: (r["n"], r["first_column"]) for r in run("report_grouped_by_source_whole")} == {k: (len(v), min(v)[1]) for k, v in groups.items()}
+    rank = {"aggregation": 7, "cast": 4, "function": 3, "rename": 2}
+    for name, best in (("edges_first_wins_whole", lambda e: -int(e["target_column"])), ("edges_merged_whole", lambda e: (rank.get(e["transform_type"], 0), int(e["target_column"])))):
+        want = {}
+        for e in every:
+            k = (e["source_model"], e["source_column"], e["target_model"], "x")
+            want[k] = max((e, want.get(k, e)), key=best)
+        assert {tuple(r)[:4]: r["transform_type"] for r in run(name)} == {k: e["transform_type"] for k, e in want.items()}
