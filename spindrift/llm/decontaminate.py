@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import fresh
 
-#: Words of a window that count (1) and that may differ (0).
-MASKS = ("110110101", "111001011", "101101011")
+#: Words of a block; an item is cut into blocks from its first word on.
+BLOCK = 3
 #: A stretch counts its equal words, less so much for each differing one.
 MISMATCH = 4
 #: A stretch of this score is an overlap; 12 equal words, or 16 with one differing.
@@ -17,6 +19,10 @@ ENOUGH = 12
 SHARE = 0.8
 #: Items of fewer words say too little and are left out.
 LEAST_WORDS = 5
+#: Items of so many words have too few blocks: one mask for each word that may differ, or, for 10 and 11 words with two
+#: that may differ, three of the five pairs that the first ten words are cut into.
+SHORT = {n: ["1" * i + "0" + "1" * (n - i - 1) for i in range(n)] for n in range(LEAST_WORDS, 9)}
+SHORT |= {10: ["".join("11" if i in c else "00" for i in range(5)) for c in itertools.combinations(range(5), 3)]}
 #: With at most so many seeds the benchmark is broadcast, else both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
@@ -40,6 +46,29 @@ def window_seeds(words: Column, masks: list[str]) -> Column:
     return F.when(F.size(words) >= span, F.concat(*every) if len(every) > 1 else every[0]).otherwise(F.array().cast("array<bigint>"))
 
 
+def block_hashes(words: Column) -> Column:
+    """A hash of the BLOCK words at every place where so many are left."""
+    places = F.sequence(F.lit(0), F.size(words) - BLOCK)
+    return F.when(F.size(words) >= BLOCK, F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(BLOCK))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def pair_seeds(blocks: Column, gaps: int) -> Column:
+    """Seeds of two blocks that lie 1, 2, ... gaps blocks apart: all places of the first distance, then of the next; null where the second block is missing."""
+    seeds = lambda g: F.transform(blocks, lambda x, i: x.bitwiseXOR(F.shiftleft(F.get(blocks, i + BLOCK * g), g)))
+    return F.concat(*(seeds(g) for g in range(1, gaps + 1)))
+
+
+def needed_gap(n: Column) -> Column:
+    """The distance at which any overlap with an item of n words has two equal blocks; null for the lengths of SHORT.
+
+    SHARE lets n // 5 words differ, each in one of the n // 3 blocks; of the others two lie no further apart than
+    they do on the average. A stretch of score ENOUGH has two at a distance of at most 2.
+    """
+    t = F.floor(n / BLOCK)
+    clean = t - F.floor(n * (1 - SHARE) + 1e-6)
+    return F.when(clean >= 2, F.greatest(F.floor((t - 1) / (clean - 1)), F.lit(2))).cast("int")
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """Distinct items (item, item_id, item_words) with words enough to be found."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -59,28 +88,37 @@ def overlap(words: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(node, item_id, score): verified overlaps of texts (node: md5 of the text) with benchmark items.
 
-    Windows of every whole text and item are hashed under each mask; equal seeds name an item and a shift. Each
-    distinct (text, item, shift) is then verified word by word: a stretch of score ENOUGH, or SHARE of the item.
-    Items shorter than the masks are looked up whole, by one mask without gaps of their length.
+    Seeds name an item and a shift: two equal blocks of an item at one distance, or for items of few words the masks
+    of SHORT. They miss no stretch of score ENOUGH and no SHARE of an item. Each distinct (text, item, shift) is then
+    verified word by word: a stretch of score ENOUGH, or SHARE of the item.
     """
+    size = F.size("item_words")
     items = items_of(benchmark)
-    span = len(masks[0])
-    sizes = items.agg(F.sum(F.size("item_words")).alias("seeds"), F.collect_set(F.when(F.size("item_words") < span, F.size("item_words"))).alias("short")).first()
-    small = (sizes["seeds"] or 0) * len(masks) <= BROADCAST_SEEDS
+    gap = needed_gap(size)
+    short = F.when(gap.isNull(), F.when(size == 11, 10).otherwise(size))
+    sizes = items.agg(F.sum(size).alias("words"), F.max(gap).alias("gaps"), F.collect_set(short).alias("short")).first()
+    small = (sizes["words"] or 0) * max(sizes["gaps"] or 0, *(len(SHORT[n]) for n in sizes["short"]), 1) <= BROADCAST_SEEDS
     spread = F.broadcast if small else (lambda df: df)
     base = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), word_hashes(F.col("text")).alias("words"))
-    groups = [(list(masks), F.size("item_words") >= span)] + [(["1" * n], F.size("item_words") == n) for n in sorted(sizes["short"])]
-    hits = None
-    for group, fits in groups:
-        n = len(group[0])
-        theirs = items.filter(fits).select("item", (F.size("item_words") - n + 1).alias("m"), F.posexplode(window_seeds(F.col("item_words"), group)).alias("p", "seed"))
-        theirs = theirs.select("seed", "item", (F.col("p") % F.col("m")).alias("item_at"))
-        ours = base.select("node", (F.size("words") - n + 1).alias("m"), F.posexplode(window_seeds(F.col("words"), group)).alias("p", "seed"))
-        found = ours.join(spread(theirs), "seed").select("node", "item", (F.col("p") % F.col("m") - F.col("item_at")).cast("int").alias("shift"))
-        hits = found if hits is None else hits.union(found)
+
+    def met(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+        return ours.join(spread(theirs), "seed").select("node", "item", (F.col("at") - F.col("item_at")).cast("int").alias("shift"))
+
+    gaps = sizes["gaps"] or 1
+    blocks = items.filter(gap.isNotNull()).select("item", gap.alias("gap"), block_hashes(F.col("item_words")).alias("blocks"))
+    p, m = F.col("p"), F.col("m")
+    theirs = blocks.select("item", "gap", F.size("blocks").alias("m"), F.posexplode(pair_seeds(F.col("blocks"), gaps)).alias("p", "seed"))
+    theirs = theirs.filter((p % m % BLOCK == 0) & (p < m * F.col("gap"))).select("seed", "item", (p % m).alias("item_at"))
+    ours = base.select("node", block_hashes(F.col("words")).alias("blocks"))
+    ours = ours.select("node", F.size("blocks").alias("m"), F.posexplode(pair_seeds(F.col("blocks"), gaps)).alias("p", "seed"))
+    hits = met(theirs, ours.select("seed", "node", (p % m).alias("at")))
+    for n in sorted(sizes["short"]):
+        theirs = items.filter(short == n).select("item", (size - n + 1).alias("m"), F.posexplode(window_seeds(F.col("item_words"), SHORT[n])).alias("p", "seed"))
+        ours = base.select("node", (F.size("words") - n + 1).alias("m"), F.posexplode(window_seeds(F.col("words"), SHORT[n])).alias("p", "seed"))
+        hits = hits.union(met(theirs.select("seed", "item", (p % m).alias("item_at")), ours.select("seed", "node", (p % m).alias("at"))))
     hits = hits.distinct()
     texts = base.select("node", "words")
     laid = texts.join(hits.hint("shuffle_hash"), "node").join(spread(items), "item")

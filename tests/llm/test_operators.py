@@ -181,6 +181,21 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_misses_no_share_of_an_item(spark):
+    """Every substitution pattern that leaves 80 % of an item, up to 20 words; some of longer items."""
+    rng = random.Random(5)
+    texts, expected = [], []
+    for n in [*range(5, 21), 25, 26, 30, 47, 64]:
+        item, most = [f"w{n}x{i}" for i in range(n)], n // 5
+        patterns = [c for k in range(most + 1) for c in itertools.combinations(range(n), k)] if n <= 20 else [rng.sample(range(n), most) for _ in range(300)]
+        for c in patterns:
+            texts.append(" ".join(["so", *("zzz" if i in c else w for i, w in enumerate(item))]))
+            expected.append(str(n))
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in [*range(5, 21), 25, 26, 30, 47, 64]], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    assert collections.Counter(e for i, e in enumerate(expected) if got[i] != e) == {}
+
+
 # 5 quality
 
 
