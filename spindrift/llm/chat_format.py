@@ -24,25 +24,28 @@ def unescaped_role(role: str) -> str:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as events: each is one whole message at its turn."""
-    none = F.lit(None).cast("string")
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), none.alias("message_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """Rows (conv_id, turn, role, text) as events: each is one whole message at its turn, named by its row, so that equal rows stay apart."""
+    name = F.monotonically_increasing_id().cast("string")
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), name.alias("message_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def messages(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, pos, role, text) of events (conv_id, seq, kind, message_id, role, text).
 
-    message: a whole message; without message_id it stands for itself. delta: text put behind the message's text.
+    message: a whole message. delta: text put behind the message's text.
     edit: replaces it. regenerate: empties it, deltas follow. delete: the message goes. A message stands at the
     smallest seq of its events and has the first role given. Events of a message are folded in the order of (seq,
     kind, role, text); null kinds count as message, null texts as empty, unknown kinds are ignored.
 
+    An event without message_id is folded alone: message, delta, edit and regenerate each make a message of their
+    own text, delete makes none.
+
     Only the events that name a message are shuffled, by conversation and message, so that a conversation with
     very many messages is folded by many tasks; a task holds the text of one message at a time.
     """
     columns = ["conv_id", "seq", "kind", "message_id", "role", "text"]
     e = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.col("message_id").cast("string").alias("message_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    whole = e.filter("message_id is null and kind = 'message'").select("conv_id", F.col("seq").alias("pos"), F.coalesce("role", F.lit("")).alias("role"), "text")
+    whole = e.filter("message_id is null and kind in ('message', 'delta', 'edit', 'regenerate')").select("conv_id", F.col("seq").alias("pos"), F.coalesce("role", F.lit("")).alias("role"), "text")
     parts = e.filter("message_id is not null").repartition("conv_id", "message_id").sortWithinPartitions("conv_id", "message_id", *columns[1:3], "role", "text")
 
     def fold(stream):

@@ -317,6 +317,16 @@ def test_events_fold(spark):
     assert chat_format.messages(df.limit(0)).count() == 0
 
 
+def test_turns_are_folded_and_nameless_events_stay(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    events = chat_format.events_of_turns(turns)
+    assert events.filter("message_id is not null").select("message_id").distinct().count() == 3
+    assert collections.Counter(tuple(r) for r in chat_format.messages(events).collect()) == {(1, 0, "user", "q"): 2, (None, None, "", ""): 1}
+    e = [(1, i, k, None, "user", k) for i, k in enumerate(["delta", "edit", "regenerate", "delete", "unknown", "message"])]
+    df = spark.createDataFrame(e, "conv_id long, seq long, kind string, message_id string, role string, text string")
+    assert sorted(tuple(r) for r in chat_format.messages(df).collect()) == [(1, i, "user", k) for i, k in ((0, "delta"), (1, "edit"), (2, "regenerate"), (5, "message"))]
+
+
 # 10 personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
