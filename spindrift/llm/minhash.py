@@ -169,23 +169,8 @@ def _crossed(size: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row (doc_id, node, component_id, kept) per row of docs (doc_id, text; other columns are ignored).
-
-    Texts are lower-cased and cut into words (ASCII letters, digits, non-ASCII characters); the similarity of two
-    texts is the weighted Jaccard of their counted five-word shingles, and links are pairs of at least the
-    threshold, verified exactly. component_id is the smallest doc_id among the rows whose texts are joined by
-    links, kept marks the rows that hold it (so repeated rows of one doc_id and text are all marked).
-
-    Equal texts are one node from the start (md5 of the bytes), so groups of copies cost a row per copy. Within a
-    band every member is compared with a hub, the member that meets most others over all bands. Only bands whose
-    members thereby end in different components go on: these are compared block by block, each two blocks in a task
-    of their own, which gives out one row per merge and no row per pair.
-
-    Null text: as empty. A text without words equals only byte-identical texts. Null doc_id: its row takes part and
-    has the component of its text; kept is then true only if no row of the component has a doc_id. Empty input:
-    empty result.
-    """
+def grouped(docs: DataFrame, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, node, component) per row of docs; component is the least node that links join to the row's."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("node", F.unhex(F.md5("text")))
@@ -221,21 +206,41 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float =
     dealt = left.join(texts, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
     more, more_path = written(dealt.mapInArrow(_crossed(size, threshold), "a binary, b binary").distinct(), "minhash-cross")
     final = components(edges.union(more), "minhash-cc")
-    by_node = sig.join(final, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    least = by_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = by_node.join(least, "component").select("doc_id", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     discard(spark, rows_path, members_path, placed_path, texts_path, edges_path, more_path)
-    return out
+    return sig.join(final, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row (doc_id, node, component_id, kept) per row of docs (doc_id, text; other columns are ignored).
+
+    Texts are lower-cased and cut into words (ASCII letters, digits, non-ASCII characters); the similarity of two
+    texts is the weighted Jaccard of their counted five-word shingles, and links are pairs of at least the
+    threshold, verified exactly. component_id is the smallest doc_id among the rows whose texts are joined by
+    links, kept marks the rows that hold it (so repeated rows of one doc_id and text are all marked).
+
+    Equal texts are one node from the start (md5 of the bytes), so groups of copies cost a row per copy. Within a
+    band every member is compared with a hub, the member that meets most others over all bands. Only bands whose
+    members thereby end in different components go on: these are compared block by block, each two blocks in a task
+    of their own, which gives out one row per merge and no row per pair.
+
+    Null text: as empty. A text without words equals only byte-identical texts. Null doc_id: its row takes part and
+    has the component of its text; kept is then true only if no row of the component has a doc_id. Empty input:
+    empty result.
+    """
+    by_node = grouped(docs, size, threshold, bands, rows)
+    least = by_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return by_node.join(least, "component").select("doc_id", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates the row with the smallest doc_id.
 
-    All columns are returned as they are. Of repeated rows with that doc_id and text one stays; rows without
-    doc_id stay only if no row of their group has one (one row then).
+    All columns are returned as they are. Exactly one row stays of every group: of equal doc_ids the one whose text
+    has the smallest md5, of repeated rows with that doc_id and text any; rows without doc_id stay only if no row of
+    their group has one. Groups are told apart by their texts, so that a doc_id may occur in several.
     """
-    marks = near_duplicates(docs, **options).filter("kept").groupBy("component_id", "node").agg(F.min("doc_id").alias("id"))
-    one = marks.groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("node")).alias("g")).agg(F.min("node").alias("_node"), F.first("id").alias("_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    one = grouped(docs, size, threshold, bands, rows).groupBy("component").agg(first.alias("o")).select(F.col("o.node").alias("_node"), F.col("o.doc_id").alias("_id"))
     node, id = fresh(docs, "_node"), fresh(docs, "_id")
     keyed = docs.withColumns({node: F.unhex(F.md5(F.coalesce("text", F.lit("")))), id: F.col("doc_id").cast("long")})
     o, k = one.select("_node", "_id").alias("o"), keyed.alias("k")

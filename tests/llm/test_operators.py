@@ -127,6 +127,19 @@ def random_texts(n):
     return ["".join(rng.choice(common_parts) if rng.random() < 0.6 else rng.choice(pool[:0x300]) if rng.random() < 0.9 else rng.choice(pool) for _ in range(rng.randint(0, 50))) for _ in range(n)]
 
 
+def test_deduplicated_keeps_one_row_of_every_group(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 80), prose(rng, 80)
+    if hashlib.md5(a.encode()).digest() < hashlib.md5(b.encode()).digest():
+        a, b = b, a
+    # one doc_id with two texts: the text with the larger md5 and its near copy are a group of their own
+    kept = minhash.deduplicated(documents(spark, [a, b, a + " more"], [1, 1, 2])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b)])
+    near = [a, a + " more", a + " other", a]
+    assert minhash.deduplicated(documents(spark, near, [None] * 4)).count() == 1
+    assert [r["doc_id"] for r in minhash.deduplicated(documents(spark, near, [None, 7, None, 9])).collect()] == [7]
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
