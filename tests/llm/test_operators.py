@@ -373,6 +373,12 @@ def test_pii(spark):
     assert rows == {0: ("mail [EMAIL] or [PHONE]!", "clash"), 1: ('token = "[SECRET]"', "clash"), 2: (None, "clash"), 3: ("nothing", "clash"), 4: ("[EMAIL]", "clash")}
 
 
+def test_long_secrets_are_found(spark):
+    secrets = ["04dbebab91ab85687d33eeaaf9ac699e1188f962" * n for n in (3, 4, 25, 250)]
+    rows = pii.redacted(documents(spark, [f'token = "{x}"' for x in secrets])).collect()
+    assert {r["text"] for r in rows} == {'token = "[SECRET]"'}
+
+
 # the pipeline
 
 
