@@ -382,6 +382,12 @@ def test_long_secrets_are_found(spark):
 # the pipeline
 
 
+def test_token_stage_decodes(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = pipeline.token_stage(spark, documents(spark, [*ODD, None]), "").collect()
+    assert {r["doc_id"]: r["decoded_sha256"] for r in rows} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate([*ODD, None])}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
