@@ -88,7 +88,7 @@ WORD = word_table()
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
         m = max(n, SEGMENT_BYTES + 4096)
@@ -119,7 +119,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD)
         begin = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, begin + SEGMENT_BYTES, "right")))
         stop = ends[to - 1]
-        p, q = _powers(stop - begin + 1)
+        p, q = powers(stop - begin + 1)
         h = np.zeros(stop - begin + 1, np.uint64)
         np.cumsum((data[begin:stop].astype(np.uint64) + np.uint64(1)) * p[: stop - begin], out=h[1:])
         s, e = starts[at:to] - begin, ends[at:to] - begin

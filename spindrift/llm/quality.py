@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import batches, mix64, salt, string_bytes, word_hashes
+from spindrift.llm.common import BASE, GOLDEN, batches, mix64, powers, salt, string_bytes
 
 BUCKETS = 1 << 15
 DIMENSIONS = 8
@@ -17,19 +17,23 @@ EPOCHS = 8
 RATE = 4.0
 BATCH = 16
 SEED = 7
+#: Bytes of texts that are featurised at a time, and of a slice of rows.
+SEGMENT, SLICE = 1 << 18, 1 << 20
 TOKEN = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and text number of every feature, in no order across kinds, and the number of features of each text.
+def features(column, segment: int = SEGMENT):
+    """Pieces (bucket, text number) of all features of the texts; together they hold each feature as often as it occurs.
 
     A text has its tokens between white space, the 3- and 4-grams of bytes within a token with its bounds, and one
     feature that every text has. Case and punctuation are kept, as they tell junk from prose.
+
+    The bytes are taken in segments that cut long texts and long tokens too (a token's hash is carried on), so that
+    beside the texts themselves only a segment's arrays are held.
     """
     data, offsets = string_bytes(column)
     n = len(offsets) - 1
-    words, docs, _ = word_hashes(data, offsets, TOKEN)
-    found, of = [(words >> np.uint64(20)).astype(np.int64) % BUCKETS, np.full(n, 1, np.int64)], [docs.astype(np.int64), np.arange(n)]
+    yield np.full(n, 1, np.int32), np.arange(n, dtype=np.int32)
     # texts side by side, a blank before each and one behind the last
     place = offsets[:-1] + np.arange(n)
     padded = np.full(len(data) + n + 1, 32, np.uint8)
@@ -37,31 +41,56 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body[place] = False
     body[-1] = False
     padded[body] = data
-    inside = TOKEN[padded]
-    owner = np.searchsorted(place, np.arange(len(padded)), "right") - 1
-    symbol = np.where(inside, padded, 32).astype(np.uint64)
-    for g in GRAMS:
-        m = max(0, len(padded) - g + 1)
-        ok = np.ones(m, bool)
-        for k in range(1, g - 1):
-            ok &= inside[k : k + m]
-        at = np.flatnonzero(ok)
-        acc = np.full(len(at), salt(g), np.uint64)
-        for k in range(g):
-            acc = acc * np.uint64(0x100000001B3) + symbol[at + k]
-        found.append((mix64(acc) >> np.uint64(20)).astype(np.int64) % BUCKETS)
-        of.append(owner[at])
-    bucket, doc = np.concatenate(found), np.concatenate(of)
-    return bucket, doc, np.bincount(doc, minlength=n)
+    del body
+    owner = lambda at: (np.searchsorted(place, at, "right") - 1).astype(np.int32)
+    bucket = lambda h: ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int32)
+    up, down = powers(segment + 1)
+    open_hash, open_length = 0, 0
+    for a in range(0, len(padded), segment):
+        part = padded[a : a + segment + max(GRAMS) - 1]
+        m = min(segment, len(padded) - a)
+        inside = TOKEN[part]
+        symbol = np.where(inside, part, 32).astype(np.uint64)
+        for g in GRAMS:
+            ok = np.ones(max(0, min(m, len(part) - g + 1)), bool)
+            for k in range(1, g - 1):
+                ok &= inside[k : k + len(ok)]
+            at = np.flatnonzero(ok)
+            acc = np.full(len(at), salt(g), np.uint64)
+            for k in range(g):
+                acc = acc * np.uint64(0x100000001B3) + symbol[at + k]
+            yield bucket(mix64(acc)), owner(a + at)
+        own = inside[:m]
+        before = np.append(open_length > 0, own[:-1])
+        starts, ends = np.flatnonzero(own & ~before), np.flatnonzero(~own & before)
+        h = np.zeros(m + 1, np.uint64)
+        np.cumsum((part[:m].astype(np.uint64) + np.uint64(1)) * up[:m], out=h[1:])
+        if open_length:
+            to = int(ends[0]) if len(ends) else m
+            open_hash = (open_hash + int(h[to]) * pow(BASE, open_length, 1 << 64)) % (1 << 64)
+            open_length += to
+            if not len(ends):
+                continue
+            yield bucket(mix64(np.array([(open_hash + open_length * int(GOLDEN)) % (1 << 64)], np.uint64))), owner(np.array([a + to - 1]))
+            ends = ends[1:]
+        open_hash, open_length = 0, 0
+        if len(starts) > len(ends):
+            s = int(starts[-1])
+            open_hash, open_length = (int(h[m]) - int(h[s])) * int(down[s]) % (1 << 64), m - s
+            starts = starts[:-1]
+        yield bucket(mix64((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64) * GOLDEN)), owner(a + ends - 1)
 
 
 def _counted(stream):
     """Feature counts of labelled texts, as bytes."""
     import pyarrow as pa
 
-    for batch in batches(stream, "text", 1 << 20):
-        bucket, doc, _ = features(batch.column("text"))
-        key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    for batch in batches(stream, "text", SLICE):
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for bucket, doc in features(batch.column("text")):
+            k, c = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+            key, at = np.unique(np.concatenate([key, k]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([count, c]), len(key)).astype(np.int64)
         cuts = np.searchsorted(key, np.arange(batch.num_rows + 1) * BUCKETS)
         ids, counts = (key % BUCKETS).astype(np.uint16), np.minimum(count, 2**31 - 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])], ["quality", "ids", "counts"])
@@ -139,9 +168,12 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
     def run(stream):
         import pyarrow as pa
 
-        for batch in batches(stream, text):
-            bucket, doc, n = features(batch.column(text))
-            odds = np.bincount(doc, shared[bucket], batch.num_rows) / n
+        for batch in batches(stream, text, SLICE):
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for bucket, doc in features(batch.column(text)):
+                total += np.bincount(doc, shared[bucket], batch.num_rows)
+                n += np.bincount(doc, minlength=batch.num_rows)
+            odds = total / n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700))))], [*names, score])
 
     return docs.mapInArrow(run, StructType(kept).add(score, "double"))

@@ -184,34 +184,101 @@ def test_decontamination(spark):
     swap = lambda t, *at: " ".join("zzz" if i in at else w for i, w in enumerate(t.split()))
     texts = {
         0: (clean, ""), 1: (f"{clean} {items[0].upper()}, {clean}", "0"), 2: (f"{clean} {swap(items[1], 9, 21)}", "1"), 3: (swap(items[2], 7), "2"), 4: (f"{items[3]} {items[4]}", "3,4"),
-        5: (f"{clean} {items[5]}", "5"), 6: (items[6], ""), 7: (" ".join(items[0].split()[10:23]), "0"), 8: (" ".join(items[0].split()[10:18]), ""), 9: (None, ""), 10: ("", ""),
+        5: (f"{clean} {items[5]}", "5"), 6: (items[6], "6"), 7: (" ".join(items[0].split()[10:23]), "0"), 8: (" ".join(items[0].split()[10:18]), ""), 9: (None, ""), 10: ("", ""),
     }
     docs = documents(spark, [t for t, _ in texts.values()], list(texts)).withColumn("node", F.lit(1)).withColumn("words", F.lit(2))
     assert {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs, bench).collect()} == {k: v for k, (_, v) in texts.items()}
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k, (_, v) in texts.items() if not v]
+    assert {r["doc_id"] for r in decontaminate.contamination(docs, bench, least_words=5).filter("contaminated").collect()} == {k for k, (_, v) in texts.items() if v} - {6}
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_decontamination_misses_no_share_of_an_item(spark):
-    """Every substitution pattern that leaves 80 % of an item, up to 20 words; some of longer items."""
+@pytest.mark.parametrize("most_seeds", [1_000_000, 0])
+def test_decontamination_misses_no_share_of_an_item(spark, monkeypatch, most_seeds):
+    """Every substitution pattern that leaves 80 % of an item, up to 20 words; some of longer items. Broadcast and shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most_seeds)
     rng = random.Random(5)
     texts, expected = [], []
-    for n in [*range(5, 21), 25, 26, 30, 47, 64]:
+    lengths = [*range(1, 21), *range(21, 41, 3), 47, 64]
+    for n in lengths:
         item, most = [f"w{n}x{i}" for i in range(n)], n // 5
         patterns = [c for k in range(most + 1) for c in itertools.combinations(range(n), k)] if n <= 20 else [rng.sample(range(n), most) for _ in range(300)]
         for c in patterns:
             texts.append(" ".join(["so", *("zzz" if i in c else w for i, w in enumerate(item))]))
             expected.append(str(n))
-    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in [*range(5, 21), 25, 26, 30, 47, 64]], "item_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in lengths], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
     assert collections.Counter(e for i, e in enumerate(expected) if got[i] != e) == {}
 
 
+def brute_overlaps(text, items):
+    """Items with a stretch of 12 points (an equal word 1, a differing one -4) or 80 % of their words on one diagonal."""
+    w, out = words(text), []
+    for k, item in enumerate(items):
+        v = words(item)
+        for shift in range(1 - len(v), len(w)):
+            same = [0 <= i + shift < len(w) and w[i + shift] == x for i, x in enumerate(v)]
+            now = best = 0
+            for x in same:
+                now = max(0, now + (1 if x else -4))
+                best = max(best, now)
+            if v and (best >= min(12, len(v)) or sum(same) >= 0.8 * len(v)):
+                out.append(k)
+                break
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, 1) for _ in range(60)]
+    items = [" ".join(rng.choice(pool) for _ in range(n)) for n in (*range(3, 41, 2), 60, 100)]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            v = rng.choice(items).split()
+            a = rng.randrange(len(v))
+            piece = v[a : a + rng.randint(4, 40)] if rng.random() < 0.5 else v
+            parts += [rng.choice(pool) if rng.random() < 0.08 else x for x in piece] + [rng.choice(pool) for _ in range(rng.randint(0, 5))]
+        texts.append(" ".join(parts))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    assert got == {i: ",".join(map(str, brute_overlaps(t, items))) for i, t in enumerate(texts)}
+
+
 # 5 quality
 
 
+def test_quality_of_long_texts_in_segments():
+    """Texts and tokens longer than a segment give the features that one segment gives; 20 MB take little memory beside the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", None, " a b", "é ü x" * 50, *("".join(rng.choice("ab \nEé!") for _ in range(rng.randint(0, 2000))) for _ in range(40)), "x" * 5000]
+
+    def counted(segment):
+        out = collections.Counter()
+        for bucket, doc in quality.features(pa.array(texts), segment):
+            out.update(zip(doc.tolist(), bucket.tolist()))
+        return out
+
+    whole = counted(1 << 18)
+    assert sum(n for (d, _), n in whole.items() if d == 2) == 1 + 2 + 2 * 1  # the text's own feature, two tokens, a 3-gram of each
+    assert counted(7) == whole and counted(100) == whole
+    for big in ("word " * 4_000_000, "x" * 20_000_000):
+        column = pa.array([big])
+        tracemalloc.start()
+        for _ in quality.features(column):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 150e6
+
+
 def test_quality(spark):
     rng = random.Random(4)
     texts, labels = [], []
