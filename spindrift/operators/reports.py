@@ -130,9 +130,13 @@ def trace_report(trace: DataFrame, roots: DataFrame) -> dict[str, DataFrame]:
 
 
 def grouped_edges(edges: DataFrame, key: str) -> DataFrame:
-    """(key, edges): the edges of each source model or target column as a sorted list."""
+    """Edges in the order of a key (source model, target column), each with the number of edges in its group.
+
+    The order is a range sort, so that a group of any size is spread over tasks; no group is gathered in one row.
+    """
+    sizes = edges.groupBy(key).agg(F.count("*").alias("group_size"))
     rest = [c for c in (*KEYS, "transform_type") if c != key]
-    return edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("edges")).orderBy(key)
+    return edges.join(sizes, key).select(key, "group_size", *rest).orderBy(key, *rest)
 
 
 def trivial_sql(sql: Column, column: Column) -> Column:

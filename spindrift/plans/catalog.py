@@ -100,16 +100,9 @@ def _row_levels(e: DataFrame) -> DataFrame:
 _graph("graph_row_levels", _row_levels, "SELECT lvl AS level, count(*) AS n FROM (SELECT node, max(lvl) AS lvl FROM l GROUP BY node) GROUP BY lvl", ", s AS (SELECT source_model || ':' || source_column AS a, target_model || ':' || target_column AS b FROM e), l(node, lvl) AS (SELECT DISTINCT model || ':' || col, 0 FROM n WHERE (model, col) NOT IN (SELECT (target_model, target_column) FROM e) UNION SELECT s.b, l.lvl + 1 FROM s JOIN l ON s.a = l.node)")
 
 
-def _closure_sizes(e: DataFrame) -> DataFrame:
-    small = e.filter(F.col("target_model").isin("nation", "customer", "supplier", "orders"))
-    pairs = G.all_pairs(G.as_graph(small).select("src", "dst"))
-    return pairs.filter(F.col("start").startswith("region\x1f")).groupBy(F.split("start", "\x1f")[1].alias("region")).agg(F.count("*").alias("n"))
-
-
-_graph("graph_closure_sizes", _closure_sizes, "SELECT root AS region, count(DISTINCT (model, col)) AS n FROM c GROUP BY root", ", f AS (SELECT * FROM e WHERE target_model IN ('nation', 'customer', 'supplier', 'orders')), c(root, model, col) AS (SELECT source_column, target_model, target_column FROM f WHERE source_model = 'region' UNION SELECT c.root, f.target_model, f.target_column FROM f JOIN c ON f.source_model = c.model AND f.source_column = c.col)")
 _PAIRS = ", p AS (SELECT source_model, target_model, transform_type, count(*) AS n FROM e WHERE source_model <> target_model GROUP BY ALL), q AS (SELECT source_model, target_model, sum(n)::BIGINT AS cnt, arg_min(transform_type, (-n, transform_type)) AS dominant FROM p GROUP BY ALL)"
 _graph("report_transform_breakdown", R.transform_breakdown, "SELECT transform_type, count(*) AS cnt FROM e GROUP BY 1")
-_graph("report_transform_bars", lambda e: R.transform_bars(e).select("transform_type", "cnt", "bar"), "SELECT transform_type, cnt, repeat('#', floor(cnt / sum(cnt) OVER () * 40)::INT) AS bar FROM (SELECT transform_type, count(*) AS cnt FROM e GROUP BY 1)")
+_graph("report_transform_bars", R.transform_bars, "SELECT transform_type, cnt, round(cnt / sum(cnt) OVER () * 100, 1) AS percent, repeat('#', floor(cnt / sum(cnt) OVER () * 40)::INT) AS bar FROM (SELECT transform_type, count(*) AS cnt FROM e GROUP BY 1)")
 _graph("report_top_models", R.top_models, "SELECT target_model, count(*) AS cnt FROM e GROUP BY 1 ORDER BY cnt DESC, 1 LIMIT 20")
 _graph("report_sample", lambda e: _five(R.sample_edges(e)), f"SELECT {COLUMNS} FROM e ORDER BY target_model, target_column, source_model, source_column LIMIT 20")
 _graph("report_inbound", lambda e: _five(R.inbound(e, "Nation")), f"SELECT {COLUMNS} FROM e WHERE target_model = 'nation'")
@@ -121,17 +114,9 @@ _graph("report_pair_stats", R.pair_stats, "SELECT (SELECT count(DISTINCT m) FROM
 _text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["cnt"].cast("string"))), ",")
 _graph("report_neighbours", lambda e: R.neighbours(e).select("model", _text("up").alias("up"), _text("down").alias("down")), "SELECT model, coalesce((SELECT string_agg(source_model || ':' || cnt, ',' ORDER BY cnt DESC, source_model) FROM q WHERE target_model = model), '') AS up, coalesce((SELECT string_agg(target_model || ':' || cnt, ',' ORDER BY cnt DESC, target_model) FROM q WHERE source_model = model), '') AS down FROM (SELECT DISTINCT model FROM n)", _PAIRS)
 _graph("report_connected_pair", R.connected_pair, "SELECT DISTINCT source_model, target_model FROM e WHERE source_model <> target_model ORDER BY ALL LIMIT 1")
-_graph("report_grouped_by_source", lambda e: R.grouped_edges(e.filter(F.col("target_model").isin("nation", "supplier")), "source_model").select("source_model", F.size("edges").cast("long").alias("n"), F.get("edges", F.lit(0))["target_column"].alias("first_column")), "SELECT source_model, count(*) AS n, arg_min(target_column, (target_model, target_column)) AS first_column FROM e WHERE target_model IN ('nation', 'supplier') GROUP BY 1")
-_graph("report_resolution", lambda e: R.resolution_breakdown(e.filter(F.col("target_model").isin("nation", "customer", "supplier", "orders"))), "SELECT resolution_status, count(*) AS cnt FROM (SELECT DISTINCT t.target_model AS tm, t.target_column AS tc, t.source_model, t.source_column, t.m, t.c, t.resolution_status FROM t) GROUP BY 1", ", f AS (SELECT * FROM e WHERE target_model IN ('nation', 'customer', 'supplier', 'orders')), t(target_model, target_column, m, c, source_model, source_column, resolution_status) AS (SELECT target_model, target_column, target_model, target_column, source_model, source_column, resolution_status FROM f UNION SELECT t.target_model, t.target_column, f.target_model, f.target_column, f.source_model, f.source_column, f.resolution_status FROM f JOIN t ON f.target_model = t.source_model AND f.target_column = t.source_column)")
-_graph("report_labels", lambda e: R.labels(e.filter("target_model = 'nation'").withColumn("transform_sql", F.concat(F.lit("t."), "source_column"))).select("target_column", "label", "note", "shown"), "SELECT target_column, CASE WHEN transform_type IN ('passthrough', 'rename') AND lower(source_column) <> lower(target_column) THEN 'rename: ' || source_column || ' -> ' || target_column ELSE transform_type END AS label, CASE WHEN resolution_status <> 'resolved' THEN '[' || resolution_status || ']' ELSE '' END AS note, '' AS shown FROM e WHERE target_model = 'nation'")
-_graph("edges_first_wins", lambda e: _five(G.first_wins(e.filter("source_model = 'part'").withColumn("ord", F.col("target_column").cast("long")).withColumn("target_column", F.lit("x")), ["source_model", "source_column", "target_model", "target_column"], "ord")), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_min(transform_type, target_column::BIGINT) AS transform_type FROM e WHERE source_model = 'part' GROUP BY 1, 2, 3")
-_graph("edges_merged", lambda e: _five(G.merged(e.filter("source_model = 'part'").withColumn("ord", F.col("target_column").cast("long")).withColumn("target_column", F.lit("x")))), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_max(transform_type, (CASE transform_type WHEN 'aggregation' THEN 7 WHEN 'cast' THEN 4 WHEN 'function' THEN 3 WHEN 'rename' THEN 2 ELSE 0 END, target_column::BIGINT)) AS transform_type FROM e WHERE source_model = 'part' GROUP BY 1, 2, 3")
 
 
-# The same operators over every key edge, lines included; the queries above give them the part that their SQL covers.
-
-
-def _closure_sizes_whole(e: DataFrame) -> DataFrame:
+def _closure_sizes(e: DataFrame) -> DataFrame:
     sizes = G.all_pairs(G.as_graph(e).select("src", "dst")).groupBy("start").agg(F.count("*").alias("n"))
     return sizes.select(F.split("start", "\x1f")[0].alias("model"), F.split("start", "\x1f")[1].alias("column"), "n")
 
@@ -142,12 +127,12 @@ def _to_x(e: DataFrame) -> DataFrame:
 
 
 _EDGE_KEY = ["source_model", "source_column", "target_model", "target_column"]
-_graph("graph_closure_sizes_whole", _closure_sizes_whole, "SELECT m AS model, k AS \"column\", count(*) AS n FROM c GROUP BY m, k", ", c(m, k, model, col) AS (SELECT source_model, source_column, target_model, target_column FROM e UNION SELECT c.m, c.k, e.target_model, e.target_column FROM e JOIN c ON e.source_model = c.model AND e.source_column = c.col)")
-_graph("report_grouped_by_source_whole", lambda e: R.grouped_edges(e, "source_model").select("source_model", F.size("edges").cast("long").alias("n"), F.get("edges", F.lit(0))["target_column"].alias("first_column")), "SELECT source_model, count(*) AS n, arg_min(target_column, (target_model, target_column)) AS first_column FROM e GROUP BY 1")
-_graph("report_resolution_whole", R.resolution_breakdown, "SELECT resolution_status, count(*) AS cnt FROM t GROUP BY 1", ", t(target_model, target_column, m, c, source_model, source_column, resolution_status) AS (SELECT target_model, target_column, target_model, target_column, source_model, source_column, resolution_status FROM e UNION SELECT t.target_model, t.target_column, e.target_model, e.target_column, e.source_model, e.source_column, e.resolution_status FROM e JOIN t ON e.target_model = t.source_model AND e.target_column = t.source_column)")
-_graph("report_labels_whole", lambda e: R.labels(e.withColumn("transform_sql", F.concat(F.lit("t."), "source_column"))).select(*_EDGE_KEY, "label", "note", "shown"), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type IN ('passthrough', 'rename') AND lower(source_column) <> lower(target_column) THEN 'rename: ' || source_column || ' -> ' || target_column ELSE transform_type END AS label, CASE WHEN resolution_status <> 'resolved' THEN '[' || resolution_status || ']' ELSE '' END AS note, '' AS shown FROM e")
-_graph("edges_first_wins_whole", lambda e: _five(G.first_wins(_to_x(e), _EDGE_KEY, "ord")), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_min(transform_type, target_column::BIGINT) AS transform_type FROM e GROUP BY 1, 2, 3")
-_graph("edges_merged_whole", lambda e: _five(G.merged(_to_x(e))), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_max(transform_type, (CASE transform_type WHEN 'aggregation' THEN 7 WHEN 'cast' THEN 4 WHEN 'function' THEN 3 WHEN 'rename' THEN 2 ELSE 0 END, target_column::BIGINT)) AS transform_type FROM e GROUP BY 1, 2, 3")
+_graph("graph_closure_sizes", _closure_sizes, "SELECT m AS model, k AS \"column\", count(*) AS n FROM c GROUP BY m, k", ", c(m, k, model, col) AS (SELECT source_model, source_column, target_model, target_column FROM e UNION SELECT c.m, c.k, e.target_model, e.target_column FROM e JOIN c ON e.source_model = c.model AND e.source_column = c.col)")
+_graph("report_grouped_by_source", lambda e: R.grouped_edges(e, "source_model"), "SELECT e.source_model, g.n AS group_size, target_model, target_column, source_column, transform_type FROM e JOIN (SELECT source_model, count(*) AS n FROM e GROUP BY 1) g USING (source_model)")
+_graph("report_resolution", R.resolution_breakdown, "SELECT resolution_status, count(*) AS cnt FROM t GROUP BY 1", ", t(target_model, target_column, m, c, source_model, source_column, resolution_status) AS (SELECT target_model, target_column, target_model, target_column, source_model, source_column, resolution_status FROM e UNION SELECT t.target_model, t.target_column, e.target_model, e.target_column, e.source_model, e.source_column, e.resolution_status FROM e JOIN t ON e.target_model = t.source_model AND e.target_column = t.source_column)")
+_graph("report_labels", lambda e: R.labels(e.withColumn("transform_sql", F.concat(F.lit("t."), "source_column"))).select(*_EDGE_KEY, "label", "note", "shown"), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type IN ('passthrough', 'rename') AND lower(source_column) <> lower(target_column) THEN 'rename: ' || source_column || ' -> ' || target_column ELSE transform_type END AS label, CASE WHEN resolution_status <> 'resolved' THEN '[' || resolution_status || ']' ELSE '' END AS note, '' AS shown FROM e")
+_graph("edges_first_wins", lambda e: _five(G.first_wins(_to_x(e), _EDGE_KEY, "ord")), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_min(transform_type, target_column::BIGINT) AS transform_type FROM e GROUP BY 1, 2, 3")
+_graph("edges_merged", lambda e: _five(G.merged(_to_x(e))), "SELECT source_model, source_column, target_model, 'x' AS target_column, arg_max(transform_type, (CASE transform_type WHEN 'aggregation' THEN 7 WHEN 'cast' THEN 4 WHEN 'function' THEN 3 WHEN 'rename' THEN 2 ELSE 0 END, target_column::BIGINT)) AS transform_type FROM e GROUP BY 1, 2, 3")
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +181,7 @@ def _select_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("meta_selection", _select_models, "WITH o AS (SELECT * FROM orders WHERE o_orderkey IN (1, 2)), c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)) SELECT 'orders_' || o_orderkey AS name FROM o UNION SELECT 'customer_' || c_custkey FROM c UNION SELECT 'nation_' || n_nationkey FROM n UNION SELECT 'region_' || n_regionkey FROM n")
 _CHAIN = "array(named_struct('step', 'a', 'sql', 'a', 'type', 'passthrough'), named_struct('step', 'b', 'sql', 'b', 'type', {t}), named_struct('step', 'c', 'sql', 'c', 'type', 'rename'))"
-_add("report_chain_steps", lambda spark, d: key_edges(spark, d).filter("target_model = 'nation'").withColumn("chain", F.expr(_CHAIN.format(t="transform_type"))).select("target_column", F.size(R.chain_steps(F.col("chain"))).cast("long").alias("n_steps"), F.get(R.chain_steps(F.col("chain")), F.lit(0))["step"].alias("first_step")), f"WITH {EDGE_SQL} SELECT target_column, CASE WHEN transform_type = 'passthrough' THEN 1 ELSE 2 END::BIGINT AS n_steps, CASE WHEN transform_type = 'passthrough' THEN 'c' ELSE 'b' END AS first_step FROM e WHERE target_model = 'nation'")
-_graph("report_chain_steps_whole", lambda e: e.withColumn("chain", F.expr(_CHAIN.format(t="transform_type"))).select(*_EDGE_KEY, F.size(R.chain_steps(F.col("chain"))).cast("long").alias("n_steps"), F.get(R.chain_steps(F.col("chain")), F.lit(0))["step"].alias("first_step")), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type = 'passthrough' THEN 1 ELSE 2 END::BIGINT AS n_steps, CASE WHEN transform_type = 'passthrough' THEN 'c' ELSE 'b' END AS first_step FROM e")
+_graph("report_chain_steps", lambda e: e.withColumn("chain", F.expr(_CHAIN.format(t="transform_type"))).select(*_EDGE_KEY, F.size(R.chain_steps(F.col("chain"))).cast("long").alias("n_steps"), F.get(R.chain_steps(F.col("chain")), F.lit(0))["step"].alias("first_step")), f"SELECT {', '.join(_EDGE_KEY)}, CASE WHEN transform_type = 'passthrough' THEN 1 ELSE 2 END::BIGINT AS n_steps, CASE WHEN transform_type = 'passthrough' THEN 'c' ELSE 'b' END AS first_step FROM e")
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Graph operators against hand-built graphs and plain closures."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from spindrift.exceptions import ColumnNotFoundError
+from spindrift.exceptions import ColumnNotFoundError, LineageError
 from spindrift.operators import graph as G
 from spindrift.operators import reports as R
 
+#: A given fixture of four edges, to which the expected traces below belong.
 ROWS = [("raw_orders", "id", "stg_orders", "order_id", "rename"), ("raw_orders", "status", "stg_orders", "order_status", "rename"), ("stg_orders", "order_id", "orders", "order_id", "passthrough"), ("stg_orders", "order_status", "orders", "is_completed", "conditional")]
 
 
@@ -59,6 +62,38 @@ def test_cycles_end(spark):
     assert dict(names(G.levels(nodes, e))) == {"x": 0, "a": 1, "b": 1, "c": 1, "d": 1}
 
 
+def test_a_round_limit_raises(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string")
+    seeds = spark.createDataFrame([("0",)], "node string")
+    assert G.reachable(e, seeds).count() == G.reachable(e, seeds, 7).count() == 6
+    with pytest.raises(LineageError, match="3 rounds"):
+        G.reachable(e, seeds, 3)
+
+
+@pytest.mark.parametrize("few", [1, 100])
+def test_small_and_large_closures_agree(spark, monkeypatch, few):
+    """Random graphs with cycles: followed by filters, by broadcast lists, and by joins over many rounds."""
+    rng = random.Random(few)
+    monkeypatch.setattr(G, "FEW", few)
+    rows = [(f"m{rng.randint(0, 5)}", str(rng.randint(0, 9)), f"m{rng.randint(0, 5)}", str(rng.randint(0, 9)), rng.choice(["rename", "cast"])) for _ in range(60)]
+    rows += [("chain", str(i), "chain", str(i + 1), "rename") for i in range(6)] + [("chain", "6", "m1", "1", "cast")]
+    e = spark.createDataFrame(rows, "source_model string, source_column string, target_model string, target_column string, transform_type string")
+    cases = [(f, m, c) for f in (G.trace, G.impact) for m, c in (("m1", "1"), ("chain", "3"))]
+    near = [[names(x) for x in f(e, m, c)] for f, m, c in cases]
+    monkeypatch.setattr(G, "SMALL", 0)
+    monkeypatch.setattr(G, "COMPACT", 2)
+    for (f, m, c), (found, ends) in zip(cases, near):
+        far = [names(x) for x in f(e, m, c)]
+        assert sorted(far[0]) == sorted(found) and far[1] == ends
+    pairs = {(a + b, c + d) for a, b, c, d, _ in rows}
+    nodes = spark.createDataFrame([(n,) for n in {x for p in pairs for x in p} | {"lone"}], "node string")
+    graph = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    assert dict(names(G.levels(nodes, graph))) == G._ordered([n for (n,) in names(nodes)], sorted(pairs))
+    ranks = dict(names(G.topological(nodes, graph)))
+    level = G._ordered(list(ranks), sorted(pairs))
+    assert sorted(ranks, key=ranks.get) == sorted(ranks, key=lambda n: (level[n], n)) and set(ranks.values()) == set(range(1, len(ranks) + 1))
+
+
 def test_diamond_levels(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("zz", "a")], "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
@@ -104,24 +139,23 @@ def test_whole_queries_see_every_edge(spark, tmp_path):
     while more := {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs:
         pairs |= more
     sizes = {a: sum(x == a for x, _ in pairs) for a, _ in pairs}
-    assert {(r["model"], r["column"]): r["n"] for r in run("graph_closure_sizes_whole")} == sizes
+    assert {(r["model"], r["column"]): r["n"] for r in run("graph_closure_sizes")} == sizes
     statuses = {}
     for target in {ends(e)[1] for e in every}:
         for e in {ends(e): e for e in every}.values():
             if ends(e)[1] == target or (ends(e)[1], target) in pairs:
                 statuses[e["resolution_status"]] = statuses.get(e["resolution_status"], 0) + 1
-    assert dict(map(tuple, run("report_resolution_whole"))) == statuses
+    assert dict(map(tuple, run("report_resolution"))) == statuses
     key = lambda e: ends(e)[0] + ends(e)[1]
-    got = {tuple(r)[:4]: (r["label"], r["note"]) for r in run("report_labels_whole")}
+    got = {tuple(r)[:4]: (r["label"], r["note"]) for r in run("report_labels")}
     label = lambda e: f"rename: {e['source_column']} -> {e['target_column']}" if e["transform_type"] in ("passthrough", "rename") and e["source_column"] != e["target_column"] else e["transform_type"]
     assert got == {key(e): (label(e), "" if e["resolution_status"] == "resolved" else "[ambiguous]") for e in every}
-    assert {tuple(r)[:4]: r["n_steps"] for r in run("report_chain_steps_whole")} == {key(e): 1 if e["transform_type"] == "passthrough" else 2 for e in every}
-    groups = {}
-    for e in every:
-        groups.setdefault(e["source_model"], []).append((e["target_model"], e["target_column"]))
-    assert {r["source_model"]: (r["n"], r["first_column"]) for r in run("report_grouped_by_source_whole")} == {k: (len(v), min(v)[1]) for k, v in groups.items()}
+    assert {tuple(r)[:4]: r["n_steps"] for r in run("report_chain_steps")} == {key(e): 1 if e["transform_type"] == "passthrough" else 2 for e in every}
+    rows = [("source_model", "target_model", "target_column", "source_column", "transform_type")]
+    size = lambda e: sum(x["source_model"] == e["source_model"] for x in every)
+    assert [(r[0], r["group_size"], *r[2:]) for r in run("report_grouped_by_source")] == [(k[0], size(e), *k[1:]) for k, e in sorted(((tuple(e[c] for c in rows[0]), e) for e in every), key=lambda x: x[0])]
     rank = {"aggregation": 7, "cast": 4, "function": 3, "rename": 2}
-    for name, best in (("edges_first_wins_whole", lambda e: -int(e["target_column"])), ("edges_merged_whole", lambda e: (rank.get(e["transform_type"], 0), int(e["target_column"])))):
+    for name, best in (("edges_first_wins", lambda e: -int(e["target_column"])), ("edges_merged", lambda e: (rank.get(e["transform_type"], 0), int(e["target_column"])))):
         want = {}
         for e in every:
             k = (e["source_model"], e["source_column"], e["target_model"], "x")

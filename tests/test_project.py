@@ -14,6 +14,7 @@ def node(uid, sql="", deps=(), kind="model", **more):
     return {"unique_id": uid, "name": uid.split(".")[-1], "resource_type": kind, "compiled_code": sql, "depends_on": {"nodes": list(deps), "macros": []}, "database": "dev", "schema": "public"} | more
 
 
+#: A given project of three hops and one model that is no SQL.
 MANIFEST = {
     "metadata": {"adapter_type": "postgres", "project_name": "shop"},
     "nodes": {
