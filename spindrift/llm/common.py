@@ -1,15 +1,13 @@
-"""Shared pieces of the corpus operators: shared folder, vectorised word hashing, connected components."""
+"""Shared pieces of the corpus operators: vectorised word hashing, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.sources.shared import discard, written
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multiplier of the rolling byte hash and its inverse modulo 2**64.
 BASE = 0x00000100000001B3 | 1
@@ -22,15 +20,6 @@ def salt(k: int) -> np.uint64:
     return np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) one is set here."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     while name.lower() in (c.lower() for c in df.columns):
@@ -38,21 +27,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that no later step reads."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (xor-shift multiply)."""
     with np.errstate(over="ignore"):
