@@ -111,7 +111,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
 
+#: Words of a text: ASCII letters and digits and all non-ASCII characters, lower-cased.
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    # all pairs of texts by their counted five-word shingles, exact; groups by following links
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE t AS (SELECT md5(coalesce(text, '')) AS node, any_value({_WORDS}) AS w FROM documents GROUP BY 1),
+        s AS (
+            SELECT node, shingle, count(*) AS n FROM (
+                SELECT node, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT node, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM t WHERE len(w) > 0))
+            GROUP BY ALL),
+        total AS (SELECT node, sum(n) AS n FROM s GROUP BY 1),
+        shared AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.node < b.node GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN total x ON x.node = a JOIN total y ON y.node = b WHERE shared.n >= 0.8 * (x.n + y.n - shared.n) - 1e-9),
+        twoway AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(a, b) AS (SELECT node, node FROM t UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON reach.b = twoway.a),
+        least AS (SELECT reach.a AS node, min(doc_id) AS component_id FROM reach JOIN documents ON md5(coalesce(text, '')) = reach.b GROUP BY 1)
+        SELECT doc_id, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM documents JOIN least ON md5(coalesce(text, '')) = node
+    """,
+    # diagonals with words enough in common, then the best stretch of each from running sums
+    "op3_benchmark_decontamination": f"""
+        WITH d AS (SELECT md5(coalesce(text, '')) AS node, any_value({_WORDS}) AS w FROM documents GROUP BY 1),
+        i AS (SELECT DISTINCT item_id, coalesce(text, '') AS t, {_WORDS} AS v FROM benchmark WHERE len({_WORDS}) > 0),
+        dw AS (SELECT node, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+        iw AS (SELECT item_id, t, len(v) AS n, unnest(v) AS word, unnest(range(len(v))) AS pos FROM i),
+        diagonal AS (
+            SELECT node, item_id, t, dw.pos - iw.pos AS shift FROM dw JOIN iw ON dw.word = iw.word
+            GROUP BY ALL HAVING count(*) >= least(12, ceil(0.8 * any_value(n)))),
+        laid AS (
+            SELECT g.node, g.item_id, g.t, g.shift, iw.n, iw.pos, coalesce(iw.pos + g.shift >= 0 AND d.w[iw.pos + g.shift + 1] = iw.word, false) AS same
+            FROM diagonal g JOIN iw ON iw.item_id IS NOT DISTINCT FROM g.item_id AND iw.t = g.t JOIN d ON d.node = g.node),
+        summed AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -4 END) OVER (PARTITION BY node, item_id, t, shift ORDER BY pos) AS s FROM laid),
+        best AS (SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY node, item_id, t, shift ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM summed),
+        hit AS (SELECT node, item_id FROM best GROUP BY node, item_id, t, shift HAVING max(score) >= least(12, any_value(n)) OR count(*) FILTER (same) >= 0.8 * any_value(n)),
+        found AS (SELECT node, count(DISTINCT coalesce(item_id::VARCHAR, '')) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY lpad(item_id::VARCHAR, 20, '0')) AS items FROM hit GROUP BY 1)
+        SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(items, '') AS items
+        FROM documents LEFT JOIN found ON md5(coalesce(text, '')) = node
+    """,
+    # all pairs of a label, exact; groups by following links
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings),
+        fit AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        twoway AS (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON reach.b = twoway.a),
+        least AS (SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1)
+        SELECT vec_id, (SELECT count(*) FROM twoway WHERE a = v.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN least USING (r)
+    """,
     "op7_url_filter": f"""
         WITH rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
         p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
