@@ -7,6 +7,7 @@ nothing twice.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,8 @@ class Hop:
 
 
 Origins = dict[tuple[str, str], Hop]
+#: Functions without parentheses, and parts of dates as arguments: no columns unless a source has one of that name.
+BARE = frozenset("CURRENT_DATE CURRENT_TIMESTAMP CURRENT_TIME CURRENT_USER SESSION_USER LOCALTIME LOCALTIMESTAMP SYSDATE YEAR QUARTER MONTH WEEK ISOWEEK DAY DAYOFWEEK DAYOFYEAR HOUR MINUTE SECOND MILLISECOND MICROSECOND".split())
 
 
 @dataclass
@@ -85,7 +88,7 @@ def classify(n: Node, name: str | None = None) -> str:
         return "conditional"
     if n.kind in FUNCTION_NODES:
         return "function"
-    return "complex" if any(attributes(n)) or subqueries(n) else "literal"
+    return "complex" if any(attributes(n)) or subqueries(n) or existence(n) else "literal"
 
 
 def attributes(n: Node, key: bool = False) -> tuple[list[Node], list[Node]]:
@@ -93,7 +96,7 @@ def attributes(n: Node, key: bool = False) -> tuple[list[Node], list[Node]]:
     if n.kind == "UnresolvedAttribute":
         return ([], [n]) if key else ([n], [])
     values, keys = [], []
-    for c in n.children:
+    for c in parts_of(n):
         v, k = attributes(c, key or n.kind == "WindowSpecDefinition")
         values += v
         keys += k
@@ -101,9 +104,20 @@ def attributes(n: Node, key: bool = False) -> tuple[list[Node], list[Node]]:
 
 
 def subqueries(n: Node) -> list[Node]:
-    """Plans of scalar subqueries in an expression."""
-    own = n.trees("plan") if n.kind == "ScalarSubquery" else []
-    return own + [p for c in n.children for p in subqueries(c)]
+    """Plans of subqueries in an expression: scalar ones, and lists behind IN."""
+    own = n.trees("plan") if n.kind in ("ScalarSubquery", "ListQuery", "LateralSubquery") else []
+    return own + [p for held in parts_of(n) for p in subqueries(held)]
+
+
+def existence(n: Node) -> list[Node]:
+    """Plans under EXISTS in an expression."""
+    own = n.trees("plan") if n.kind == "Exists" else []
+    return own + [p for held in parts_of(n) for p in existence(held)]
+
+
+def parts_of(n: Node) -> list[Node]:
+    """Children, and what an IN with a subquery holds beside them."""
+    return [*n.children, *(n.trees("values") + n.trees("query") if n.kind == "InSubquery" and not n.children else [])]
 
 
 class Analyzer:
@@ -152,6 +166,8 @@ class Analyzer:
                 return self.set_operation([self.query(c, ctes) for c in n.children])
             case "UnresolvedSubqueryColumnAliases":
                 return self.renamed(self.query(n.children[0], ctes), n.parts("outputColumnNames"))
+            case "Pivot":
+                return self.pivot(n, ctes)
             case "UnresolvedRelation" | "SubqueryAlias" | "Join" | "LateralJoin" | "Generate" | "Filter" if n.kind != "Filter" or not n.children:
                 return self.every(self.sources(n, ctes))
             case "LocalRelation" | "UnresolvedInlineTable" | "OneRowRelation" | "Range":
@@ -204,14 +220,21 @@ class Analyzer:
             name, r = self.table(parts)
             forms = {".".join(parts[-k:]).lower() for k in range(1, len(parts) + 1)} | {name.lower()}
             return [Source(frozenset(forms), r)]
+        if n.kind == "LateralJoin":
+            found = self.sources(n.children[0], ctes)
+            return found + [s for q in n.trees("right") for p in q.trees("plan") for s in self.lateral(p, found, ctes)]
+        if n.kind in ("SubqueryAlias", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction") and self.function(n):
+            return self.lateral(n, [], ctes)
         if n.kind == "SubqueryAlias":
             alias = n.fields["identifier"]["name"].lower()
             inner = n.children[0]
             r = self.every(self.sources(inner, ctes)) if inner.kind == "UnresolvedRelation" else self.query(inner, ctes)
             return [Source(frozenset((alias,)), r)]
-        if n.kind in ("Join", "LateralJoin"):
-            found = [s for c in n.children for s in self.sources(c, ctes)]
+        if n.kind == "Join":
             kind = n.fields.get("joinType")
+            found = [s for c in n.children for s in self.sources(c, ctes)]
+            if isinstance(kind, dict) and re.search(r"Left(Semi|Anti)", str(kind.get("object") or kind.get("tpe") or kind.get("product-class"))):
+                return self.sources(n.children[0], ctes)  # the other side only filters
             shared = Node("", kind).parts("usingColumns") if isinstance(kind, dict) and "usingColumns" in kind else []
             if shared:
                 r = Relation()
@@ -230,10 +253,37 @@ class Analyzer:
             return [*found, Source(frozenset((str(alias).lower(),) if alias else ()), r)]
         if n.kind in ("Filter", "Sample", "UnresolvedHint", "UnresolvedHaving", "UnresolvedTableValuedFunction") and n.children:
             return self.sources(n.children[0], ctes)
-        if n.kind in ("UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Project", "Aggregate", "Union", "Intersect", "Except", "LocalRelation", "UnresolvedInlineTable"):
+        if n.kind in ("Pivot", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Project", "Aggregate", "Union", "Intersect", "Except", "LocalRelation", "UnresolvedInlineTable"):
             return [Source(frozenset(), self.query(n, ctes))]
         return [s for c in n.children for s in self.sources(c, ctes)]
 
+    @staticmethod
+    def function(n: Node) -> Node | None:
+        """The table function under aliases, if that is what a node stands for."""
+        while n.kind in ("SubqueryAlias", "UnresolvedTVFAliases") and n.children:
+            n = n.children[0]
+        return n if n.kind == "UnresolvedTableValuedFunction" else None
+
+    def lateral(self, n: Node, before: list[Source], ctes: dict[str, Relation]) -> list[Source]:
+        """The right side of a lateral join: a table function of columns before it, or a subquery."""
+        call = self.function(n)
+        if call is None:
+            return self.sources(n, ctes)
+        names: list[str] = []
+        alias, at = None, n
+        while at is not call:
+            alias = at.fields["identifier"]["name"].lower() if at.kind == "SubqueryAlias" else alias
+            names = at.parts("outputNames") or names
+            at = at.children[0]
+        r = Relation()
+        for x in call.trees("functionArgs"):
+            origins = self.expression(x, before, Relation(), "function")
+            for plan in subqueries(x):
+                origins = origins | {k: replace(h, type="function") for _, o in self.query(plan, ctes).columns.values() for k, h in o.items()}
+            for name in names or ["col"]:
+                r.put(name, {k: h for k, h in origins.items() if k[0] != LITERAL_MODEL} or origins)
+        return [Source(frozenset((alias,) if alias else ()), r)]
+
     # one SELECT
 
     def select(self, n: Node, ctes: dict[str, Relation]) -> Relation:
@@ -252,6 +302,9 @@ class Analyzer:
                 named = e.children[0] if e.kind == "UnresolvedAlias" else e
                 name = sql_of(named)
             origins = self.expression(e, found, out, classify(e))
+            for plan in existence(e):
+                for key, hop in self.conditions(plan, found, ctes, classify(e)).items():
+                    origins.setdefault(key, hop)
             for plan in subqueries(e):
                 for _, more in self.query(plan, ctes).columns.values():
                     for key, hop in more.items():
@@ -259,6 +312,39 @@ class Analyzer:
             out.put(name, origins)
         return out
 
+    def conditions(self, plan: Node, outer: list[Source], ctes: dict[str, Relation], kind: str) -> Origins:
+        """Base columns that decide whether a subquery has rows: those of its conditions, looked up inside, then outside."""
+        found = [s for c in (plan.children or [plan]) for s in self.sources(c, ctes)]
+        out: Origins = {}
+
+        def walk(n: Node) -> None:
+            for c in n.trees("condition"):
+                for a in attributes(c)[0]:
+                    for key in self.column(a, found, Relation()) or self.column(a, outer, Relation()):
+                        out.setdefault(key, Hop(kind, "EXISTS(SELECT ...)", ((key[1], "EXISTS(SELECT ...)", kind),)))
+            for c in n.children:
+                walk(c)
+
+        walk(plan)
+        return out
+
+    def pivot(self, n: Node, ctes: dict[str, Relation]) -> Relation:
+        """Columns of a PIVOT: those that group, then one for each value and aggregate, from what the aggregate reads."""
+        found = [s for c in n.children for s in self.sources(c, ctes)]
+        aggregates = n.trees("aggregates")
+        used = {a.parts("nameParts")[-1].lower() for x in [*aggregates, *n.trees("pivotColumn")] for a in attributes(x)[0]}
+        out = Relation()
+        for name, origins in self.every(found).columns.values():
+            if name.lower() not in used:
+                out.put(name, origins)
+        out.open = self.every(found).open
+        for v in n.trees("pivotValues"):
+            value = v.fields["name"] if v.kind == "Alias" else str(v.fields.get("value", sql_of(v)))
+            for x in aggregates:
+                name = f"{value}_{x.fields['name'] if x.kind == 'Alias' else sql_of(x)}" if len(aggregates) > 1 else value
+                out.put(name, self.expression(x, found, Relation(), classify(x)))
+        return out
+
     def star(self, e: Node, found: list[Source], out: Relation) -> None:
         target = [p.lower() for p in e.parts("target")] if e.fields.get("target") not in (None, "None") else []
         target = [t.removeprefix("some(").removeprefix("list(") for t in target]
@@ -279,6 +365,8 @@ class Analyzer:
                 if qualifier in s.names:
                     return s.relation.find(parts[k]) or {}
         name = parts[0]
+        if len(parts) == 1 and name.upper() in BARE and not any(name.lower() in s.relation.columns for s in found):
+            return {(LITERAL_MODEL, name): Hop("literal", name)}
         listed = [s for s in found if name.lower() in s.relation.columns]
         if listed:
             joined = [s for s in listed if not s.names]
@@ -300,16 +388,30 @@ class Analyzer:
         values, keys = attributes(e)
         text = sql_of(e)
         if not values and not keys:
-            return {} if subqueries(e) else {(LITERAL_MODEL, text): Hop("literal", text)}
+            return {} if subqueries(e) or existence(e) else {(LITERAL_MODEL, text): Hop("literal", text)}
         out: Origins = {}
+        bare: Origins = {}
         for a in values or keys:
             for key, hop in self.column(a, found, before).items():
-                if kind in TRIVIAL:
+                if key[0] == LITERAL_MODEL and hop.type == "literal" and key[1].upper() in BARE:
+                    bare.setdefault(key, Hop("literal", key[1]))
+                    continue
+                if kind in TRIVIAL and self.field(a, found):
+                    new = Hop("complex", text, (*hop.chain, (key[1], text, "complex")))
+                elif kind in TRIVIAL:
                     new = Hop(hop.type if hop.type not in TRIVIAL else kind, hop.sql if hop.type not in TRIVIAL else text, (*hop.chain, (text, text, kind)))
                 else:
                     new = Hop(kind, text, (*hop.chain, (key[1], text, kind)))
                 out.setdefault(key, new)
-        return out
+        return out or bare
+
+    @staticmethod
+    def field(a: Node, found: list[Source]) -> bool:
+        """Whether a name of several parts is a field of a column, not a column of a source."""
+        parts = a.parts("nameParts")
+        prefixes = {".".join(parts[:k]).lower() for k in range(1, len(parts))}
+        qualified = [k for s in found for k in prefixes & s.names]
+        return len(parts) > 1 and (not qualified or max(k.count(".") for k in qualified) + 2 < len(parts))
 
 
 def jinja(sql: str) -> bool:
@@ -343,14 +445,19 @@ def analyze_sql(spark: SparkSession, sql: str, model: str, schema: dict[str, dic
                 seen.add(key)
                 result.edges.append({"source_model": source, "source_column": column, "target_model": model, "target_column": name, "transform_type": kind, "transform_sql": hop.sql if kind not in TRIVIAL else column, "transform_chain": [{"step": s, "sql": q, "type": t} for s, q, t in hop.chain], "model_unique_id": unique_id, "resolution_status": "resolved"})
     result.ambiguous_columns = list(dict.fromkeys(a.ambiguous))
-    known = {t: c for t in a.tables if (c := schema.get(t))}
+    known = {t: c for t in a.tables if (c := schema.get(t) or schema.get(t.lower()))}
     sources = {e["source_model"] for e in result.edges} - {LITERAL_MODEL}
-    if len(known) == 1 and sources and not sources & known.keys():
-        # every source is unknown but one known table is read: outputs among its columns pass from it
+    if len(known) == 1 and not sources & known.keys():
         (table, columns), names = next(iter(known.items())), result.output_columns
         lower = {c.lower(): c for c in columns if "." not in c}
-        if names and all(n.lower() in lower for n in names):
-            result.edges = [{"source_model": table, "source_column": lower[n.lower()], "target_model": model, "target_column": n, "transform_type": "passthrough", "transform_sql": lower[n.lower()], "transform_chain": [], "model_unique_id": unique_id, "resolution_status": "resolved"} for n in names]
+        passed = lambda pairs: [{"source_model": table, "source_column": c, "target_model": model, "target_column": n, "transform_type": "passthrough", "transform_sql": c, "transform_chain": [], "model_unique_id": unique_id, "resolution_status": "resolved"} for c, n in pairs]
+        if sources and names and all(n.lower() in lower for n in names):
+            # every source is unknown but one known table is read: outputs among its columns pass from it
+            result.edges = passed((lower[n.lower()], n) for n in names)
+        elif len(a.tables) == 1 and not result.edges:
+            # nothing could be traced, and one known table is all that is read: its columns pass
+            result.edges = passed((c, c) for c in lower.values())
+            result.columns_attempted = len(lower)
     result.columns_traced = len({e["target_column"] for e in result.edges})
     result.unresolved_columns = [c for c in result.failed_columns if c not in result.ambiguous_columns]
     return result
