@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import graph as G
 from spindrift.operators import reports as R
+from spindrift.plans import artifact_queries
 from spindrift.plans import sample_project as P
 from spindrift.sources import artifacts, store
 
@@ -234,3 +235,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("lineage_trace_revenue", flagship, "SELECT * FROM (VALUES ('lineitem', 'l_extendedprice'), ('lineitem', 'l_discount')) t(model, \"column\")")
 _add("lineage_impact_discount", lambda spark, d: G.impact(P.project_edges(spark, d), "lineitem", "l_discount")[1], "SELECT * FROM (VALUES ('stg_lines', 'net_price'), ('order_totals', 'net_total'), ('orders_enriched', 'net_total'), ('mart_customers', 'revenue'), ('mart_customers', 'mean_order')) t(model, \"column\")")
+
+artifact_queries.over_sample(EXPECTED)
+QUERIES |= artifact_queries.QUERIES
+ORACLE_SQL |= artifact_queries.ORACLE_SQL
