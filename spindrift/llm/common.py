@@ -137,13 +137,14 @@ def shingle_counts(column, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
     return acc[at][by_doc], docs[at][by_doc], n[by_doc]
 
 
-def batches(stream, text: str, limit: int = 4 << 20):
-    """Slices of Arrow batches holding about limit bytes of text each (at least one row)."""
+def batches(stream, *texts: str, limit: int = 4 << 20):
+    """Slices of Arrow batches holding about limit bytes of the named text columns each (at least one row)."""
+    import pyarrow.compute as pc
+
     for batch in stream:
         if not batch.num_rows:
             continue
-        column = batch.column(text) if isinstance(text, str) else text(batch)
-        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32 if str(column.type) in ("string", "binary") else np.int64)[column.offset : column.offset + len(column) + 1]).astype(np.int64)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
         part = (np.cumsum(sizes) - sizes) // limit
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(sizes))
         for a, b in zip(cuts[:-1], cuts[1:]):

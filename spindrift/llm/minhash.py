@@ -14,8 +14,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 ROWS = 5
-#: Where components of one band are compared with each other, blocks of about this many texts meet at a time.
+#: Where components of one band are compared with each other, blocks of about this many texts, or characters, meet at a time.
 BLOCK = 512
+BLOCK_CHARS = 4 << 20
 COLUMNS = 4096
 
 
@@ -83,7 +84,7 @@ def _bands(size: int, bands: int, rows: int):
             acc = mix64(acc + np.arange(bands, dtype=np.uint64) * GOLDEN)[have].view(np.int64)
             offsets = np.zeros(batch.num_rows + 1, np.int32)
             np.cumsum(have * bands, out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.ListArray.from_arrays(offsets, acc.reshape(-1))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), batch.column("chars"), pa.ListArray.from_arrays(offsets, acc.reshape(-1))], ["doc_id", "node", "chars", "bands"])
 
     return run
 
@@ -92,7 +93,7 @@ def _similar(size: int, threshold: float):
     def run(stream):
         import pyarrow as pa
 
-        for batch in batches(stream, "text_a"):
+        for batch in batches(stream, "text_a", "text_b"):
             ea, da, na = shingle_counts(batch.column("text_a"), size)
             eb, db, nb = shingle_counts(batch.column("text_b"), size)
             n = batch.num_rows
@@ -173,11 +174,11 @@ def grouped(docs: DataFrame, size: int, threshold: float, bands: int, rows: int)
     """(doc_id, node, component) per row of docs; component is the least node that links join to the row's."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("node", F.unhex(F.md5("text")))
-    sig, sig_path = written(base.mapInArrow(_bands(size, bands, rows), "doc_id long, node binary, bands array<long>"), "minhash-sig")
-    nodes = sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    rows_of, rows_path = written(nodes.select("node", "rep", F.explode("bands").alias("band")), "minhash-bands")
-    shared = rows_of.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    base = base.withColumns({"node": F.unhex(F.md5("text")), "chars": F.length("text")})
+    sig, sig_path = written(base.mapInArrow(_bands(size, bands, rows), "doc_id long, node binary, chars int, bands array<long>"), "minhash-sig")
+    nodes = sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("chars").alias("chars"), F.first("bands").alias("bands"))
+    rows_of, rows_path = written(nodes.select("node", "rep", "chars", F.explode("bands").alias("band")), "minhash-bands")
+    shared = rows_of.groupBy("band").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars")).filter("n > 1")
     members, members_path = written(rows_of.join(shared, "band").select("band", "node", "rep", "n"), "minhash-members")
     # the hub is the member that meets the most others over all its bands: the text that a group's copies come from
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -199,7 +200,7 @@ def grouped(docs: DataFrame, size: int, threshold: float, bands: int, rows: int)
     # members of one band in different components: the pairs that the comparison with the hub leaves open
     placed = placed.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"), "hub")
     open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    left = placed.join(open_bands.join(shared, "band"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = placed.join(open_bands.join(shared, "band"), "band").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all_chars") / BLOCK_CHARS)).cast("int"))
     left = left.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
@@ -207,7 +208,8 @@ def grouped(docs: DataFrame, size: int, threshold: float, bands: int, rows: int)
     more, more_path = written(dealt.mapInArrow(_crossed(size, threshold), "a binary, b binary").distinct(), "minhash-cross")
     final = components(edges.union(more), "minhash-cc")
     discard(spark, rows_path, members_path, placed_path, texts_path, edges_path, more_path)
-    return sig.join(final, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    # written before it is joined by component, so that the rows of a large group can be split there
+    return written(sig.join(final, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component")), "minhash-rows")[0]
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -221,14 +223,15 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: float =
     Equal texts are one node from the start (md5 of the bytes), so groups of copies cost a row per copy. Within a
     band every member is compared with a hub, the member that meets most others over all bands. Only bands whose
     members thereby end in different components go on: these are compared block by block, each two blocks in a task
-    of their own, which gives out one row per merge and no row per pair.
+    of their own, which gives out one row per merge and no row per pair. A band's blocks are as many as its texts'
+    number or characters need. A pair at the threshold shares no band less than once in 2,000.
 
     Null text: as empty. A text without words equals only byte-identical texts. Null doc_id: its row takes part and
     has the component of its text; kept is then true only if no row of the component has a doc_id. Empty input:
     empty result.
     """
     by_node = grouped(docs, size, threshold, bands, rows)
-    least = by_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least, _ = written(by_node.groupBy("component").agg(F.min("doc_id").alias("component_id")), "minhash-least")
     return by_node.join(least, "component").select("doc_id", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

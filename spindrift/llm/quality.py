@@ -85,7 +85,7 @@ def _counted(stream):
     """Feature counts of labelled texts, as bytes."""
     import pyarrow as pa
 
-    for batch in batches(stream, "text", SLICE):
+    for batch in batches(stream, "text", limit=SLICE):
         key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for bucket, doc in features(batch.column("text")):
             k, c = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
     def run(stream):
         import pyarrow as pa
 
-        for batch in batches(stream, text, SLICE):
+        for batch in batches(stream, text, limit=SLICE):
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for bucket, doc in features(batch.column(text)):
                 total += np.bincount(doc, shared[bucket], batch.num_rows)

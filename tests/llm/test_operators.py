@@ -334,6 +334,33 @@ def test_urls(spark):
         best = max(fit, key=lambda x: (len(x.host) + len(x.path), len(x.host), x.verdict == "block"), default=None)
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best.host + best.path, best.verdict if best else "allow")
     assert url_filter.judged(pages.limit(0), rules).count() == 0
+    whole = sorted(map(str, url_filter.judged(pages, rules).collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(url_filter, "PORTION", 4)
+        assert sorted(map(str, url_filter.judged(pages, rules).collect())) == whole
+    assert {r["verdict"] for r in url_filter.judged(pages, [], "block").collect()} == {"block"}
+
+
+def test_urls_over_many_ranges(spark):
+    """Several ranges that begin inside hosts with rules; repeated and null page ids."""
+    rules = [url_filter.Rule("com", "/a", "block"), url_filter.Rule("h7.com", "/a/5", "allow"), url_filter.Rule("h3.com", "", "block")]
+    rows = [(i if i % 5 else None, f"https://h{i % 10}.com/a/{i % 50}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = url_filter.judged(pages, rules)
+        assert out.rdd.getNumPartitions() > 1
+        got = collections.Counter(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = collections.Counter()
+    for page, url in rows:
+        host, path = url[8:].split("/", 1)
+        rule = ("h7.com/a/5", "allow") if host == "h7.com" and path.startswith("a/5") else ("com/a", "block")
+        if host == "h3.com":
+            rule = ("h3.com", "block") if len("h3.com") > len("com/a") else rule
+        want[page, host, "/" + path, *rule] += 1
+    assert got == want
 
 
 # 8 embeddings
@@ -367,6 +394,31 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared, bits", [(0.0, 12), (0.9, 12), (0.0, 20)])
+def test_embedding_recall(spark, shared, bits):
+    """Pairs just above the threshold among vectors with and without a common direction, against brute force."""
+    rng = np.random.default_rng(3)
+    n, d = 1500, 64
+    x = rng.standard_normal((n, d)) * np.sqrt(1 - shared) + np.sqrt(shared) * rng.standard_normal(d)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.standard_normal((n // 3, d))
+    near = x[: n // 3]
+    noise -= (noise * near).sum(1)[:, None] * near
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    cosine = rng.uniform(0.9801, 0.985, (n // 3, 1))
+    x = np.concatenate([x, near * cosine + noise * np.sqrt(1 - cosine**2)])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = sum(r["n_links"] for r in embedding_dedup.near_vectors(df.withColumn("node", F.lit(1)).withColumn("copies", F.lit("x")), bits=bits).collect())
+    links = (x @ x.T >= 0.98).sum() - len(x)
+    assert links >= 2 * (n // 3) and found <= links and found >= 0.995 * links
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (7, [2.0, 0.0], 0), (3, [0.0, 1.0], 0), (None, [0.0, 3.0], 1), (None, None, 0)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)]))
+
+
 # 9 chats
 
 
@@ -440,15 +492,128 @@ def test_pii(spark):
     assert rows == {0: ("mail [EMAIL] or [PHONE]!", "clash"), 1: ('token = "[SECRET]"', "clash"), 2: (None, "clash"), 3: ("nothing", "clash"), 4: ("[EMAIL]", "clash")}
 
 
+def brute_spans(text):
+    """Base spans, then those of the trees, kind by kind, where nothing that stands there overlaps; by the plain features."""
+    text, (trees, cuts) = text or "", pii.model()
+    out = [(a, b, pii.KINDS.index(k)) for a, _, b, k in brute_pii(text)]
+    java = {k: p.replace("(?:\\G|", "(?:") for k, p in pii.GENERATORS.items()}
+    for kind, pattern in java.items():
+        new = []
+        for m in re.finditer(pattern, text):
+            f = pii.plain_features(kind, m.group(), text[max(0, m.start() - pii.WINDOW) : m.start()])
+            row = np.array([f[x] for x in pii.FEATURES])
+            if sum(pii.SHRINK * pii.value(t, row) for t in trees) >= cuts[kind] and not any(a < m.end() and m.start() < b for a, b, _ in out):
+                new.append((m.start(), m.end(), pii.KINDS.index(kind)))
+        out += new
+    return sorted(out)
+
+
+def brute_redacted(text):
+    out, at, end = [], 0, -1
+    for a, b, k in brute_spans(text):
+        if a >= end:
+            out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+        end = at = max(end, b)
+    return "".join(out) + (text or "")[at:]
+
+
+def test_tree_spans_and_redaction_equal_brute_force(spark):
+    rng = random.Random(31)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f'token = "{hexa(40)}"', lambda: hexa(rng.randint(14, 70)), lambda: f"commit {hexa(40)}", lambda: f"order {digits(20)}", lambda: f"api key: {digits(24)}", lambda: f"ssn {digits(3)}-{digits(2)}-{digits(4)}", lambda: f"isbn {digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"iban DE{digits(20)}", lambda: f"born 19{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"updated 20{digits(2)}-01-02", lambda: f"card {digits(16)}", lambda: "4111 1111 1111 1111", lambda: "+49 30 1234567", lambda: "10.1.2.3", lambda: "a.b@c.de", lambda: "+4111111111111111", lambda: "plain words", lambda: "\U0001f600 é",
+    ]
+    texts = ["".join(rng.choice(makers)() + rng.choice(["", " ", ", ", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(400)] + [" ".join(rng.choice(makers)() for _ in range(400)), None, ""]
+    docs = documents(spark, texts)
+    for r in pii.pii_spans(docs).collect():
+        assert r["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for a, b, k in brute_spans(texts[r["doc_id"]]))), texts[r["doc_id"]]
+    for r in pii.redacted(docs).collect():
+        assert r["text"] == (None if texts[r["doc_id"]] is None else brute_redacted(texts[r["doc_id"]]))
+
+
+def test_pii_of_odd_tables(spark):
+    docs = spark.createDataFrame([(None, "a.b@c.de", "x"), (1, "a.b@c.de", "y"), (1, "a.b@c.de", "y"), (2, None, None)], "doc_id long, text string, spans string")
+    rows = sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in pii.pii_spans(docs).collect())
+    assert rows == [("1", 1, "email:0:8"), ("1", 1, "email:0:8"), ("2", 0, ""), ("None", 1, "email:0:8")]
+    assert pii.pii_spans(docs.limit(0)).count() == 0 and pii.redacted(docs.limit(0)).columns == docs.columns
+
+
 def test_long_secrets_are_found(spark):
     secrets = ["04dbebab91ab85687d33eeaaf9ac699e1188f962" * n for n in (3, 4, 25, 250)]
     rows = pii.redacted(documents(spark, [f'token = "{x}"' for x in secrets])).collect()
     assert {r["text"] for r in rows} == {'token = "[SECRET]"'}
 
 
+# odd tables
+
+
+def test_text_operators_on_odd_tables(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, clashing further columns, empty tables."""
+    rows = [(None, "Released under the MIT License"), (4, "a b"), (4, "a b"), (4, "other"), (5, None), (6, "")]
+    clash = {c: F.lit("x") for c in ("ids", "n_tokens", "score", "label", "labels", "words", "n_words", "node", "quality", "seq", "held_out")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (6, 1), (6, 1), (5, 7)], "doc_id long, quality int").withColumn("text", F.lit("x"))
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    for run, columns in (
+        (lambda d: bpe.round_trips(d, BPE), ("n_tokens", "ids_sha256")), (lambda d: token_counts.token_counts(d, pieces), ("n_tokens",)), (lambda d: license_scan.license_scan(d), ("n_words", "n_base", "labels")),
+        (lambda d: quality.quality_scores(d, labels), ("held_out", "score")), (lambda d: minhash.near_duplicates(d), ()),
+    ):
+        got = collections.Counter((r["doc_id"], *(r[c] for c in columns)) for r in run(docs).collect())
+        plain = collections.Counter((r["doc_id"], *(r[c] for c in columns)) for r in run(docs.select("doc_id", "text")).collect())
+        assert sum(got.values()) == len(rows) and got == plain
+        assert collections.Counter(k[0] for k in got.elements()) == collections.Counter(i for i, _ in rows)
+        empty = run(docs.limit(0))
+        assert empty.count() == 0 and empty.columns == run(docs).columns
+    assert quality.quality_scores(docs, labels.limit(0)).filter("score <> 0.5").count() == 0
+
+
+def test_digests_of_no_conversation(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digests(chat_format.messages(chat_format.events_of_turns(none))).count() == 0
+
+
+def test_events_fold_equals_a_plain_fold(spark):
+    """Random logs with deltas, edits, regenerations and deletions of several messages, interleaved."""
+    rng = random.Random(14)
+    kinds = ["message", "delta", "delta", "edit", "regenerate", "delete"]
+    rows = [(c, seq, rng.choice(kinds), f"m{rng.randint(0, 3)}", rng.choice(["user", "assistant", None]), rng.choice(["a", "bc", "", None, "<|im_end|>"])) for c in range(20) for seq in range(rng.randint(0, 25))]
+    rng.shuffle(rows)
+    want = collections.Counter()
+    for c, m in {(r[0], r[3]) for r in rows}:
+        own = sorted((r for r in rows if (r[0], r[3]) == (c, m)), key=lambda r: r[1])
+        text, gone = "", False
+        for _, _, kind, _, _, t in own:
+            text, gone = (text, True) if kind == "delete" else (text + (t or ""), gone) if kind == "delta" else (t or "", False)
+        if not gone:
+            want[c, own[0][1], next((r[4] for r in own if r[4] is not None), ""), text] += 1
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message_id string, role string, text string").repartition(5)
+    assert collections.Counter(tuple(r) for r in chat_format.messages(df).collect()) == want
+
+
 # the pipeline
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Each stage but the last returns the columns of its input, with null, empty and repeated rows and further columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(0, "some item of the benchmark with quite a few words in it here"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(1, "mail a.b@c.de", "en", None, 3, "x", 1), (1, "mail a.b@c.de", "en", None, 3, "x", 1), (None, None, None, None, None, None, None), (3, "", "en", "s", 0, "y", 2), (4, "Some item of the benchmark with quite a few words in it here", "en", "s", 1, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, score int")
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(str(r["doc_id"]) for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    # a null text and an empty one are copies; the benchmark's passage goes
+    assert kept == {"quality classifier": ["1", "1", "3", "4", "None"], "minhash near-dedup": ["1", "3", "4"], "benchmark decontamination": ["1", "1", "3", "None"], "pii": ["1", "1", "3", "4", "None"]}
+    last = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == 5 and pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_token_stage_decodes(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = pipeline.token_stage(spark, documents(spark, [*ODD, None]), "").collect()
