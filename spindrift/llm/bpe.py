@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
-from spindrift.llm.common import batches
+from spindrift.llm.common import batches, short_batches
 
 #: Letters and numbers of Unicode 16 that Python's 15.1 tables lack, as inclusive ranges.
 NEW_LETTERS = (
@@ -222,6 +222,7 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
 
 def _with(docs: DataFrame, source: str, target: str, kind: DataType, make) -> DataFrame:
+    short_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != target]
     order = [f.name for f in kept]
     schema = StructType([*kept]).add(target, kind)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.sources.shared import discard, written
@@ -12,7 +12,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multiplier of the rolling byte hash and its inverse modulo 2**64.
 BASE = 0x00000100000001B3 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 
 
 def salt(k: int) -> np.uint64:
@@ -137,8 +137,24 @@ def shingle_counts(column, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
     return acc[at][by_doc], docs[at][by_doc], n[by_doc]
 
 
-def batches(stream, *texts: str, limit: int = 4 << 20):
+#: Bytes of text that are worked on at a time; rows and bytes that travel to Python at a time.
+SLICE, ROWS_PER_BATCH, BYTES_PER_BATCH = 1 << 20, 1000, 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let batches of at most so many rows and bytes travel to Python in this session: rows hold whole texts.
+
+    Smaller numbers that the session has set stay. Both sides of the pipe hold a batch outside the heap.
+    """
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = int("".join(c for c in spark.conf.get(f"spark.sql.execution.arrow.{name}") if c.isdigit()))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
+def batches(stream, *texts: str, limit: int = SLICE):
     """Slices of Arrow batches holding about limit bytes of the named text columns each (at least one row)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in stream:
@@ -149,6 +165,7 @@ def batches(stream, *texts: str, limit: int = 4 << 20):
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(sizes))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import GOLDEN, batches, components, discard, fresh, mix64, salt, shingle_counts, written
+from spindrift.llm.common import GOLDEN, batches, components, discard, fresh, mix64, salt, shingle_counts, short_batches, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -16,7 +16,7 @@ BANDS = 20
 ROWS = 5
 #: Where components of one band are compared with each other, blocks of about this many texts, or characters, meet at a time.
 BLOCK = 512
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 COLUMNS = 4096
 
 
@@ -154,7 +154,7 @@ def _crossed(size: int, threshold: float):
         import pyarrow as pa
 
         key, rows = None, []
-        for batch in stream:
+        for batch in batches(stream, "text"):
             out = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "node", "part", "component", "text"))):
                 if r[:3] != key:
@@ -173,6 +173,7 @@ def _crossed(size: int, threshold: float):
 def grouped(docs: DataFrame, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """(doc_id, node, component) per row of docs; component is the least node that links join to the row's."""
     spark = docs.sparkSession
+    short_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumns({"node": F.unhex(F.md5("text")), "chars": F.length("text")})
     sig, sig_path = written(base.mapInArrow(_bands(size, bands, rows), "doc_id long, node binary, chars int, bands array<long>"), "minhash-sig")

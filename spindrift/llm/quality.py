@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import BASE, GOLDEN, batches, mix64, powers, salt, string_bytes
+from spindrift.llm.common import BASE, GOLDEN, batches, mix64, powers, salt, short_batches, string_bytes
 
 BUCKETS = 1 << 15
 DIMENSIONS = 8
@@ -17,8 +17,8 @@ EPOCHS = 8
 RATE = 4.0
 BATCH = 16
 SEED = 7
-#: Bytes of texts that are featurised at a time, and of a slice of rows.
-SEGMENT, SLICE = 1 << 18, 1 << 20
+#: Bytes of texts that are featurised at a time.
+SEGMENT = 1 << 18
 TOKEN = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -85,7 +85,7 @@ def _counted(stream):
     """Feature counts of labelled texts, as bytes."""
     import pyarrow as pa
 
-    for batch in batches(stream, "text", limit=SLICE):
+    for batch in batches(stream, "text"):
         key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for bucket, doc in features(batch.column("text")):
             k, c = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> np.n
     known = known.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("quality").cast("int").alias("quality"))
     ids = known.collect()  # sample rows at most
     spark = docs.sparkSession
+    short_batches(spark)
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, quality int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("quality", "text")
     # a doc_id may repeat in docs: the smallest hashes of text bound what is gathered
@@ -161,6 +162,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
     """
     from pyspark.sql.types import StructType
 
+    short_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != score]
     names = [f.name for f in kept]
     shared = weights.astype(np.float64)
@@ -168,7 +170,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
     def run(stream):
         import pyarrow as pa
 
-        for batch in batches(stream, text, limit=SLICE):
+        for batch in batches(stream, text):
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for bucket, doc in features(batch.column(text)):
                 total += np.bincount(doc, shared[bucket], batch.num_rows)
