@@ -152,9 +152,21 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept between tasks and would hold it while idle."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batches(stream, *texts: str, limit: int = SLICE):
     """Slices of Arrow batches holding about limit bytes of the named text columns each (at least one row)."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in stream:
@@ -165,7 +177,7 @@ def batches(stream, *texts: str, limit: int = SLICE):
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(sizes))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
