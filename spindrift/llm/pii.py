@@ -172,17 +172,25 @@ def model() -> tuple[list, dict[str, float]]:
     return trees, cuts
 
 
-def log_odds(kind: str, feature: dict[str, Column]) -> Column:
-    """The trees as one expression for candidates of a kind; what the kind decides is decided here."""
+def judged(kind: str, candidates: str) -> Column:
+    """The candidates of a kind, an array column with their features, that the trees keep: (start, end, ord).
 
-    def expression(tree) -> Column:
+    The trees are SQL text over the features; what the kind decides is decided here.
+    """
+
+    def expression(tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(float(SHRINK * tree))
-        if FEATURES[tree[0]].startswith("is_"):
-            return expression(tree[2] if float(FEATURES[tree[0]] == f"is_{kind}") <= tree[1] else tree[3])
-        return F.when(feature[FEATURES[tree[0]]] <= tree[1], expression(tree[2])).otherwise(expression(tree[3]))
+            return f"{float(SHRINK * tree)!r}D"
+        name, cut, left, right = tree
+        if FEATURES[name].startswith("is_"):
+            return expression(left if float(FEATURES[name] == f"is_{kind}") <= cut else right)
+        return f"IF(c.{FEATURES[name]} <= {cut!r}D, {expression(left)}, {expression(right)})"
 
-    return functools.reduce(lambda a, b: a + b, map(expression, model()[0]))
+    trees, cuts = model()
+    odds = " + ".join(map(expression, trees))
+    least = "double('infinity')" if math.isinf(cuts[kind]) else f"{cuts[kind]!r}D"
+    span = f"named_struct('start', c.start, 'end', c.end, 'ord', {KINDS.index(kind)})"
+    return F.expr(f"transform(filter({candidates}, c -> {odds} >= {least}), c -> {span})")
 
 
 def column_features(part: Column, context: Column) -> dict[str, Column]:
@@ -192,12 +200,11 @@ def column_features(part: Column, context: Column) -> dict[str, Column]:
     return out | {k: yes(context.rlike(f"(?i){words}")) for k, words in CONTEXT.items()}
 
 
-SPAN = "array<struct<start:int,end:int,ord:int>>"
-
-
 def spans(text: Column) -> dict[str, Column]:
-    """Per kind the array of (start, end, ord) of a text column; ord is the kind's place in KINDS."""
-    none = F.array().cast(SPAN)
+    """Per base kind the array of (start, end, ord) of a text column, ord being the kind's place in KINDS; per other kind its candidates.
+
+    Candidates are (start, end, features): the features are worked out once for each, as the trees read them many times.
+    """
 
     def kept(kind: str, pattern: str, near: Column | None, good) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -212,16 +219,14 @@ def spans(text: Column) -> dict[str, Column]:
         "card": kept("card", CARD, None, lambda s: luhn(digits(s))),
         "phone": kept("phone", PHONE, F.contains(text, F.lit("+")), lambda s: F.length(digits(s)).between(9, 15)),
     }
-    cuts = model()[1]
-
-    def judge(kind: str):
-        def judged(s: Column) -> Column:
+    def described(kind: str, pattern: str) -> Column:
+        def features(s: Column) -> Column:
             context = F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-            return log_odds(kind, column_features(s["part"], context)) >= F.lit(cuts[kind])
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), *(c.alias(k) for k, c in column_features(s["part"], context).items()))
 
-        return judged
+        return F.transform(matches(text, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pattern), features)
 
-    return out | {kind: kept(kind, pattern, None, judge(kind)) for kind, pattern in GENERATORS.items()}
+    return out | {kind: described(kind, pattern) for kind, pattern in GENERATORS.items()}
 
 
 def free_of(candidates: Column, taken: Column) -> Column:
@@ -247,6 +252,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = found.withColumns({f"_{k}": c for k, c in spans(F.col("text")).items()})
+    found = found.withColumns({f"_{k}": judged(k, f"_{k}") for k in GENERATORS})
     found = found.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     found = found.withColumn("_so_far", F.col("_base"))
     for k in GENERATORS:
