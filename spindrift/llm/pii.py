@@ -91,7 +91,8 @@ def synthetic(seed: int = 5, each: int = 500) -> tuple[np.ndarray, np.ndarray, l
         return "".join(rng.choice("0123456789") for _ in range(n))
 
     def add(kind: str, part: str, context: str, label: int) -> None:
-        rows.append([plain_features(kind, part, context)[f] for f in FEATURES])
+        found = plain_features(kind, part, context)
+        rows.append([found[f] for f in FEATURES])
         labels.append(label)
         kinds.append(kind)
         rounds.append(turn)
