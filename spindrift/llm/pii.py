@@ -40,6 +40,8 @@ CONTEXT = {
     "ctx_neutral": "version|sha|commit|hash|checksum|isbn|order|build|uuid|published|updated",
 }
 WINDOW = 32
+#: Code points of a block of a text, from which contexts and kept stretches are cut.
+BLOCK = 4096
 FEATURES = (*(f"is_{k}" for k in GENERATORS), "length", "digits", "digits_only", "hex_only", "upper", "lower", "luhn", *CONTEXT)
 TREES, DEPTH, SHRINK, PRECISION = 32, 3, 0.4, 0.99
 
@@ -56,8 +58,8 @@ def luhn(digits: Column) -> Column:
     return (n > 0) & (F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add) % 10 == 0)
 
 
-def running(values: Column, block: int = 64, highest: bool = False) -> Column:
-    """Sums (or the highest, at least 0) of all values before each position, in blocks, so that long arrays aren't copied for every element."""
+def running(values: str, block: int = 64, highest: bool = False) -> Column:
+    """Sums (or the highest, at least 0) of all values of an array column before each position, in blocks, so that long arrays aren't copied for every element."""
     none = F.array().cast("array<int>")
     n = F.size(values)
     join = (lambda a, b: F.greatest(a, b)) if highest else (lambda a, b: a + b)
@@ -65,21 +67,33 @@ def running(values: Column, block: int = 64, highest: bool = False) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0), join)
     sums = F.transform(starts, lambda s: total(F.slice(values, s, F.lit(block))))
     prefix = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("s"), none.alias("o")), lambda acc, x: F.struct(join(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o")))["o"]
-    before = prefix(sums)
-    parts = F.transform(starts, lambda s, k: F.transform(prefix(F.slice(values, s, F.lit(block))), lambda x: join(x, F.get(before, k))))
+    parts = F.zip_with(starts, prefix(sums), lambda s, before: F.transform(prefix(F.slice(values, s, F.lit(block))), lambda x: join(x, before)))
     return F.when(n > 0, F.flatten(parts)).otherwise(none)
 
 
-def matches(text: Column, found: Column, pattern: str) -> Column:
-    """array<struct(start, end, part)> of a pattern's matches, in code points, end exclusive.
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """length code points from start (from 0) of a text that stands in blocks of BLOCK, without a walk from its first one."""
+    size, first = F.lit(BLOCK), F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + length - 1) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), ""), start % size + 1, length)
 
-    found are the matches; what stands between them comes from splitting the text at the same places.
+
+def with_matches(docs: DataFrame, patterns: dict[str, str], where: dict[str, Column]) -> DataFrame:
+    """docs with _kind per pattern: array<struct(start, end, part)> of its matches in text, in code points, end exclusive.
+
+    What stands between the matches comes from splitting the text at the same places. Each step is a column of its
+    own, so that no pattern is searched twice. where: a cheap condition without which a kind has no matches.
     """
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.length(a) + F.length(b))
-    ends = F.zip_with(running(steps), steps, lambda a, b: a + b)
-    spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("part")))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
+    none = F.array().cast("array<string>")
+    found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()}
+    docs = docs.withColumns({f"_f_{k}": F.when(where[k], c).otherwise(none) if k in where else c for k, c in found.items()})
+    between = {k: F.slice(F.split("text", p, -1), F.lit(1), F.size(f"_f_{k}")) for k, p in patterns.items()}
+    steps = {k: F.zip_with(c, f"_f_{k}", lambda a, b: F.length(a) + F.length(b)) for k, c in between.items()}
+    docs = docs.withColumns({f"_s_{k}": F.when(F.size(f"_f_{k}") > 0, c).otherwise(F.array().cast("array<int>")) for k, c in steps.items()})
+    ends = {k: F.zip_with(running(f"_s_{k}"), f"_s_{k}", lambda a, b: a + b) for k in patterns}
+    span = lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("part"))
+    docs = docs.withColumns({f"_{k}": F.zip_with(c, f"_f_{k}", span) for k, c in ends.items()})
+    return docs.drop(*(f"_{x}_{k}" for x in "fs" for k in patterns))
 
 
 def synthetic(seed: int = 5, each: int = 500) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -201,37 +215,33 @@ def column_features(part: Column, context: Column) -> dict[str, Column]:
     return out | {k: yes(context.rlike(f"(?i){words}")) for k, words in CONTEXT.items()}
 
 
-def spans(text: Column) -> dict[str, Column]:
-    """Per base kind the array of (start, end, ord) of a text column, ord being the kind's place in KINDS; per other kind its candidates.
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """docs with _kind per base kind, the array of (start, end, ord) in text, ord being the kind's place in KINDS, and per other kind its candidates.
 
     Candidates are (start, end, features): the features are worked out once for each, as the trees read them many times.
     """
-
-    def kept(kind: str, pattern: str, near: Column | None, good) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found = found if near is None else F.when(near, found).otherwise(F.array().cast("array<string>"))
-        every = F.filter(matches(text, found, pattern), good)
-        return F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("ord")))
-
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE} | GENERATORS
+    docs = with_matches(docs, patterns, {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))})
     digits = lambda s: F.regexp_replace(s["part"], "[^0-9]", "")
-    out = {
-        "email": kept("email", EMAIL, F.contains(text, F.lit("@")), lambda s: F.lit(True)),
-        "ip": kept("ip", IP, None, lambda s: F.forall(F.split(s["part"], r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").cast("decimal(38,0)") <= 255)),
-        "card": kept("card", CARD, None, lambda s: luhn(digits(s))),
-        "phone": kept("phone", PHONE, F.contains(text, F.lit("+")), lambda s: F.length(digits(s)).between(9, 15)),
+    good = {
+        "email": lambda s: F.lit(True),
+        "ip": lambda s: F.forall(F.split(s["part"], r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").cast("decimal(38,0)") <= 255),
+        "card": lambda s: luhn(digits(s)),
+        "phone": lambda s: F.length(digits(s)).between(9, 15),
     }
-    def described(kind: str, pattern: str) -> Column:
-        def features(s: Column) -> Column:
-            context = F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), *(c.alias(k) for k, c in column_features(s["part"], context).items()))
 
-        return F.transform(matches(text, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pattern), features)
+    def features(s: Column) -> Column:
+        context = cut(F.col("_blocks"), F.greatest(s["start"] - WINDOW, F.lit(0)), F.least(s["start"], F.lit(WINDOW)))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), *(c.alias(k) for k, c in column_features(s["part"], context).items()))
+
+    def kept(kind: str) -> Column:
+        return F.transform(F.filter(f"_{kind}", good[kind]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("ord")))
 
-    return out | {kind: described(kind, pattern) for kind, pattern in GENERATORS.items()}
+    return docs.withColumns({f"_{k}": kept(k) for k in BASE} | {f"_{k}": F.transform(f"_{k}", features) for k in GENERATORS})
 
 
-def free_of(candidates: Column, taken: Column) -> Column:
-    """The candidates that overlap none of the taken spans, by one sweep over both.
+def with_free(docs: DataFrame, candidates: str, taken: str) -> DataFrame:
+    """docs with the candidates that overlap none of the taken spans added to these, by one sweep over both.
 
     Taken spans are met at their starts, candidates at their ends: by then every taken span that begins before the
     candidate's end has been met, and none overlaps it if the furthest end so far is no further than its start.
@@ -240,24 +250,27 @@ def free_of(candidates: Column, taken: Column) -> Column:
         F.transform(taken, lambda t: F.struct(t["start"].alias("at"), F.lit(1).alias("taken"), t["start"].alias("start"), t["end"].alias("end"), t["ord"].alias("ord"))),
         F.transform(candidates, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("taken"), c["start"].alias("start"), c["end"].alias("end"), c["ord"].alias("ord"))),
     ))
-    reach = running(F.transform(met, lambda x: F.when(x["taken"] == 1, x["end"]).otherwise(0)), highest=True)
-    clear = F.filter(F.zip_with(met, reach, lambda x, r: F.when((x["taken"] == 0) & (r <= x["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["ord"].alias("ord")))), lambda x: x.isNotNull())
-    return F.when((F.size(candidates) > 0) & (F.size(taken) > 0), clear).otherwise(candidates)
+    empty = (F.size(candidates) == 0) | (F.size(taken) == 0)
+    docs = docs.withColumn("_met", F.when(~empty, met))
+    docs = docs.withColumn("_reach", F.transform("_met", lambda x: F.when(x["taken"] == 1, x["end"]).otherwise(0)))
+    reach = running("_reach", highest=True)
+    clear = F.filter(F.zip_with("_met", reach, lambda x, r: F.when((x["taken"] == 0) & (r <= x["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["ord"].alias("ord")))), lambda x: x.isNotNull())
+    return docs.withColumn(taken, F.concat(taken, F.when(~empty, clear).otherwise(F.col(candidates)))).drop("_met", "_reach")
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(row, text, _base, _all, ...): the rows of docs as structs, with arrays of (start, end, ord) by start, then kind.
+    """(row, text, _blocks, _base, _all, ...): the rows of docs as structs, with arrays of (start, end, ord) by start, then kind.
 
     Base spans all stay, overlapping ones of different kinds too; a span of the trees is left out where it overlaps
     a base span or a span of a kind listed before it.
     """
     found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = found.withColumns({f"_{k}": c for k, c in spans(F.col("text")).items()})
+    found = with_candidates(found.withColumn("_blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
     found = found.withColumns({f"_{k}": judged(k, f"_{k}") for k in GENERATORS})
     found = found.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in BASE))))
     found = found.withColumn("_so_far", F.col("_base"))
     for k in GENERATORS:
-        found = found.withColumn("_so_far", F.concat("_so_far", free_of(F.col(f"_{k}"), F.col("_so_far"))))
+        found = with_free(found, f"_{k}", "_so_far")
     return found.withColumn("_all", F.array_sort("_so_far"))
 
 
@@ -281,15 +294,14 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     All columns stay, a null text stays null.
     """
-    found = with_spans(docs, text)
+    found = with_spans(docs, text).withColumn("_ends", F.col("_all.end"))
     every = F.col("_all")
-    found = found.withColumn("_reach", running(F.transform(every, lambda s: s["end"]), highest=True))
     # a span that begins behind the furthest end before it opens a run; that end is where the run before it ends
-    both = F.zip_with(every, "_reach", lambda s, r: F.struct(s["start"].alias("start"), r.alias("from"), s["ord"].alias("ord")))
+    both = F.zip_with(every, running("_ends", highest=True), lambda s, r: F.struct(s["start"].alias("start"), r.alias("from"), s["ord"].alias("ord")))
     found = found.withColumn("_cut", F.filter(both, lambda s: s["start"] >= s["from"]))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    last = F.array_max(F.transform(every, lambda s: s["end"]))
-    body = F.transform("_cut", lambda s: F.concat(F.substring(F.col("text"), s["from"] + 1, s["start"] - s["from"]), F.get(names, s["ord"])))
+    last = F.array_max("_ends")
+    body = F.transform("_cut", lambda s: F.concat(cut(F.col("_blocks"), s["from"], s["start"] - s["from"]), F.get(names, s["ord"])))
     done = F.concat(F.array_join(body, ""), F.substring(F.col("text"), last + 1, F.length("text")))
     clean = F.when(F.size(every) > 0, done).otherwise(F.col("row")[text])
     return found.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

@@ -644,3 +644,18 @@ def test_queries_are_registered(spark):
     from spindrift.llm import queries
 
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pii_of_a_text_with_many_spans(spark):
+    """Spans beyond many blocks of a long text of many code points, where contexts and kept stretches cross block ends."""
+    words = ["é𝄞 a.b@c.de", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "1.2.3.4", "plain words", "born 1980-01-02", "x" * 997, "iban DE12345678901234567890", "𝄞" * 4095]
+    text = " ".join(words[k % 8 if k % 50 else 7] for k in range(4000))
+    want = sorted((a, k, b) for a, b, k in brute_spans(text))
+    row = pii.pii_spans(documents(spark, [text])).collect()[0]
+    assert len(want) > 2000 and row["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    out, at = [], 0
+    for a, k, b in want:
+        if a >= at:
+            out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+        at = max(at, b)
+    assert pii.redacted(documents(spark, [text])).collect()[0]["text"] == "".join(out) + text[at:]
