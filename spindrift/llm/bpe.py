@@ -48,7 +48,8 @@ def word_pattern(top: int = 0x110000) -> re.Pattern:
 NONE = np.int32(2**31 - 1)
 #: Words up to this many bytes take the contiguous rank array, longer ones the heap.
 SHORT = 256
-CACHE_WORDS = 300_000
+#: Words whose ids are remembered; cells of the arrays in which words are merged together. They bound a worker's memory.
+CACHE_WORDS, CELLS = 100_000, 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -174,7 +175,7 @@ class ByteBpe:
             else:
                 by_size.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for size, group in by_size.items():
-            step = max(64, 400_000 // size)
+            step = max(64, CELLS // size)
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 self.cache.update(zip((w for w, _ in part), self.merge_short([r for _, r in part])))
@@ -236,13 +237,17 @@ def _with(docs: DataFrame, source: str, target: str, kind: DataType, make) -> Da
     return docs.mapInArrow(run, schema)
 
 
-def _encode_column(path: str, column):
+def _lists(found: list[bytes]):
+    """An Arrow array of lists of 32-bit integers from their bytes."""
     import pyarrow as pa
 
-    ids = tokenizer(path).encode_all([x or "" for x in column.to_pylist()])
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(b) // 4 for b in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(b) // 4 for b in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def _encode_column(path: str, column):
+    return _lists(tokenizer(path).encode_all([x or "" for x in column.to_pylist()]))
 
 
 def _decode_column(path: str, column):
@@ -252,19 +257,23 @@ def _decode_column(path: str, column):
     return pa.array([t.decode(np.array([i for i in x or () if i is not None], "<u4").tobytes()) for x in column.to_pylist()], pa.string())
 
 
-def round_trips(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs (doc_id, text): encode, decode, digest.
+def round_trips(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs (doc_id, text): encode, decode, digest; with ids, these too (array<int>).
 
-    Null text: as empty. doc_id may be null or repeat; there is a row for each row. Other columns are ignored.
+    Null text: as empty. doc_id may be null or repeat; there is a row for each row. Other columns are ignored. One
+    Python worker does both directions, so that ids don't travel between two.
     """
+    short_batches(docs.sparkSession)
 
     def run(stream):
         import pyarrow as pa
 
         t = tokenizer(path)
         for batch in batches(stream, "text"):
-            ids = t.encode_all([x or "" for x in batch.column("text").to_pylist()])
-            back = (hashlib.sha256(t.decode(b).encode()).hexdigest() for b in ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in ids]), pa.array(list(back))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = t.encode_all([x or "" for x in batch.column("text").to_pylist()])
+            back = [hashlib.sha256(t.decode(b).encode()).hexdigest() for b in found]
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(b) // 4 for b in found], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in found]), "decoded_sha256": pa.array(back)}
+            yield pa.RecordBatch.from_pydict(out | ({"ids": _lists(found)} if ids else {}))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)

@@ -659,3 +659,16 @@ def test_pii_of_a_text_with_many_spans(spark):
             out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
         at = max(at, b)
     assert pii.redacted(documents(spark, [text])).collect()[0]["text"] == "".join(out) + text[at:]
+
+
+def test_round_trips_with_ids_equal_encoding_and_decoding(spark):
+    """One worker's round trip gives the ids and the text of the two single steps, also for null, empty and repeated rows."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = documents(spark, [None, "", "a b", "a b", "é𝄞 " * 300, "x" * 700])
+    trips = {r["doc_id"]: r for r in bpe.round_trips(docs, path, ids=True).collect()}
+    both = {r["doc_id"]: r for r in bpe.decoded(bpe.encoded(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path).select("doc_id", "ids"), path).collect()}
+    assert len(trips) == len(both) == 6
+    for k, r in trips.items():
+        assert r["ids"] == both[k]["ids"] and r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(both[k]["text"].encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
