@@ -43,10 +43,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (null: none), their number, and the digest of the text decoded from them."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encoded(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-    back = bpe.decoded(encoded.select("doc_id", "ids"), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    found = bpe.round_trips(docs, public_tokenizers.path(TOKENIZER), ids=True)
+    return found.select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
