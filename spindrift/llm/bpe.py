@@ -49,7 +49,7 @@ NONE = np.int32(2**31 - 1)
 #: Words up to this many bytes take the contiguous rank array, longer ones the heap.
 SHORT = 256
 #: Words whose ids are remembered; cells of the arrays in which words are merged together. They bound a worker's memory.
-CACHE_WORDS, CELLS = 100_000, 100_000
+CACHE_WORDS, CELLS = 300_000, 100_000
 
 
 def byte_alphabet() -> list[str]:
